@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK, CONTEXT = 8192, 256
@@ -363,3 +363,7 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", chu
     merged = cut.where("a >= 0").join(before, ["k", "c"]).groupBy("k", (F.col("before") + F.col("part")).alias("s")).agg(F.min("a").alias("sent_start"), F.max("b").alias("sent_end"))
     long = merged.select("k", F.row_number().over(Window.partitionBy("k").orderBy("s")).cast("bigint").alias("sent_no"), "sent_start", "sent_end")
     return short.unionByName(long).withColumnRenamed("k", key)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "sent_start", "sent_end")
