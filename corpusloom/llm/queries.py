@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, frequencies, lookalikes, mixing, packing, sentences, splits
+from . import distinctive, frequencies, lookalikes, mixing, overlaps, packing, sentences, splits
 
-MODULES = (lookalikes, frequencies, splits, distinctive, packing, mixing, sentences)
+MODULES = (lookalikes, frequencies, splits, distinctive, overlaps, packing, mixing, sentences)
 
 WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+'), lambda w: trim(w, '''')), lambda w: w <> '')"
 TOKENS = "coalesce(n_tokens, octet_length(encode(text)) + 1)"
