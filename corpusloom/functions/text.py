@@ -7,7 +7,6 @@ NFKC can change.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -25,6 +24,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def squeeze(c: Column | str) -> Column:
     """Every run of Unicode white space becomes one blank; none is left at the ends."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -89,35 +93,33 @@ def reflect(toks: Column | str) -> Column:
     return F.array_join(F.transform(col(toks), lambda w: F.coalesce(F.try_element_at(swap, w), w)), " ")
 
 
+def _windows(size: Column, n: int, piece) -> Column:
+    """``piece(i)`` for every window of ``n`` that begins at i, counted from 1."""
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), piece)).otherwise(F.array().cast("array<string>"))
+
+
 def word_ngrams(toks: Column | str, low: int, high: int) -> Column:
     """``w2:a_b`` and so on, shorter ones first."""
-    toks = col(toks)
-    grams = [
-        F.when(
-            F.size(toks) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i, n=n: F.concat(F.lit(f"w{n}:"), F.array_join(F.slice(toks, i, n), "_"))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+
+    def of(t: Column, n: int) -> Column:
+        return _windows(F.size(t), n, lambda i: F.concat(F.lit(f"w{n}:"), F.array_join(F.slice(t, i, n), "_")))
+
+    return let(col(toks), lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(toks: Column | str, low: int, high: int) -> Column:
     """``c3:^ab`` and so on over the joined words between ``^`` and ``$``; repeats are kept."""
     body = F.concat(F.lit("^"), F.array_join(col(toks), " "), F.lit("$"))
-    grams = [
-        F.when(
-            F.length(body) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i, n=n: F.concat(F.lit(f"c{n}:"), F.substring(body, i, n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+
+    def of(b: Column, n: int) -> Column:
+        return _windows(F.length(b), n, lambda i: F.concat(F.lit(f"c{n}:"), F.substring(b, i, F.lit(n))))
+
+    return let(body, lambda b: F.concat(*[of(b, n) for n in range(low, high + 1)]))
 
 
 def extract_terms(toks: Column | str, w: tuple[int, int] = (1, 2), c: tuple[int, int] = (3, 5)) -> Column:
     """Word n-grams, then character n-grams; a text without words has none."""
-    return F.when(F.size(col(toks)) > 0, F.concat(word_ngrams(toks, *w), char_ngrams(toks, *c))).otherwise(F.array().cast("array<string>"))
+    return let(col(toks), lambda t: F.when(F.size(t) > 0, F.concat(word_ngrams(t, *w), char_ngrams(t, *c))).otherwise(F.array().cast("array<string>")))
 
 
 def valid_feature_name(c: Column | str) -> Column:
@@ -141,5 +143,3 @@ def quantize(c: Column | str, scale: float = 1e12) -> Column:
 def safe_ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
-
-_WORD = re.compile(r"[^\W_]")
