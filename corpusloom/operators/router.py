@@ -7,11 +7,11 @@ for streams (see ``streaming.sessions``). A null utterance counts as an empty on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_CHARS, col, contains_phrase, normalize, reflect, words
-from .checkpoints import cut
+from .ranking import ranked
 
 # Phrases that stop the conversation; matching them is no assessment of anyone.
 SAFETY_PHRASES = [
@@ -109,20 +109,8 @@ def rule_route(rows: DataFrame, text: str = "text", turn: Column | None = None)
 
 
 def session_turns(rows: DataFrame, session: str, order: list[str], out: str = "turn") -> DataFrame:
-    """The number of each utterance within its session; every utterance counts, empty ones too.
-
-    Rows are range-partitioned by session and order, ranked within each part, and raised by the rows
-    of the same session in earlier parts: a session with a third of all rows is not sorted in one
-    task. Equal orders are told apart by their whole rows.
-    """
-    keys = [F.col(session), *map(F.col, order)]
-    ties = F.xxhash64(*[F.col(c) for c in rows.columns])
-    parts = cut(rows.withColumn("__tie", ties).repartitionByRange(*keys, F.col("__tie")).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy(session, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(F.col(session).alias("__session"), F.col("__part").alias("__p"), (F.sum("__n").over(Window.partitionBy(session).orderBy("__part")) - F.col("__n")).alias("__before"))
-    ranked = parts.withColumn("__rank", F.row_number().over(Window.partitionBy(session, "__part").orderBy(*order, "__tie")))
-    joined = ranked.join(before, F.col(session).eqNullSafe(F.col("__session")) & (F.col("__part") == F.col("__p")))
-    return joined.select(*rows.columns, (F.col("__before") + F.col("__rank")).alias(out))
+    """The number of each utterance within its session; every utterance counts, empty ones too."""
+    return ranked(rows, [session], [F.col(c) for c in order], out)
 
 
 def rule_route_session(rows: DataFrame, session: str, order: list[str], text: str = "text") -> DataFrame:
