@@ -20,8 +20,8 @@ class Vectorizer:
 
     word: tuple[int, int] = (1, 2)
     char: tuple[int, int] = (3, 5)
-    max_features: int = 4096
-    min_df: int = 2
+    max_features: int = 512
+    min_df: int = 1
 
     def __post_init__(self) -> None:
         for what, (low, high), least, most in (("word", self.word, 1, 3), ("char", self.char, 2, 6)):

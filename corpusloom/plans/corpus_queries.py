@@ -30,6 +30,7 @@ def query(sql: str | None = None):
     return add
 
 
+WIDE = V.Vectorizer(max_features=4096, min_df=2)
 # Features. The SQL form repeats the chain: terms, frequencies, vocabulary, weights.
 TERMS = TEXT_ORACLE["extract_terms"].removesuffix(" SELECT row_no, term, count(*)::BIGINT AS n FROM x GROUP BY ALL") + ", tc AS (SELECT row_no, term, count(*)::BIGINT AS n FROM x GROUP BY ALL), dfs AS (SELECT term, count(*)::BIGINT AS df FROM tc GROUP BY term)"
 VOCAB = TERMS + f", top AS (SELECT term, df FROM dfs WHERE df >= 2 ORDER BY df DESC, term LIMIT 4096), voc AS (SELECT (row_number() OVER (ORDER BY df DESC, term) - 1)::INTEGER AS position, term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM ({PROMPTS}))) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM top)"
@@ -43,24 +44,24 @@ def document_frequency(s, d):
 
 @query(f"{VOCAB} SELECT position, term, df FROM voc")
 def vocabulary_topk(s, d):
-    return V.fit(prompts(s, d), "row_no").select("position", "term", "df")
+    return V.fit(prompts(s, d), "row_no", vectorizer=WIDE).select("position", "term", "df")
 
 
 @query(f"{VOCAB} SELECT term, round(idf, 6) AS idf FROM voc")
 def idf(s, d):
-    return V.fit(prompts(s, d), "row_no").select("term", F.round("idf", 6).alias("idf"))
+    return V.fit(prompts(s, d), "row_no", vectorizer=WIDE).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{WEIGHTS} SELECT row_no, position, round(value, 6) AS value FROM wt")
 def tfidf_transform(s, d):
     rows = prompts(s, d)
-    return V.weights(V.term_counts(rows, "row_no"), V.fit(rows, "row_no"), "row_no").select("row_no", "position", F.round("value", 6).alias("value"))
+    return V.weights(V.term_counts(rows, "row_no"), V.fit(rows, "row_no", vectorizer=WIDE), "row_no").select("row_no", "position", F.round("value", 6).alias("value"))
 
 
 @query(f"{WEIGHTS} SELECT row_no, position, round(value / sqrt(sum(value * value) OVER (PARTITION BY row_no)), 6) AS value FROM wt")
 def tfidf_l2(s, d):
     rows = prompts(s, d)
-    return V.transform(rows, V.fit(rows, "row_no"), "row_no").select("row_no", F.explode("features").alias("f")).select("row_no", "f.position", F.round("f.value", 6).alias("value"))
+    return V.transform(rows, V.fit(rows, "row_no", vectorizer=WIDE), "row_no").select("row_no", F.explode("features").alias("f")).select("row_no", "f.position", F.round("f.value", 6).alias("value"))
 
 
 # Set similarity over the grouped prompts: their words and word pairs as sets.
