@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, metric_queries, strict, text_queries
+from . import corpus_queries, metric_queries, model_queries, strict, text_queries
 
-MODULES = (strict, text_queries, corpus_queries, metric_queries)
+MODULES = (strict, text_queries, corpus_queries, metric_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
