@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -184,7 +185,8 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     whole = F.when(F.length(text) > MAX_CHARS, F.lit("")).otherwise(F.coalesce(text, F.lit(""))) if model.profile == "v3" else F.coalesce(text, F.lit(""))
     v = model.vectorizer
     prepared = rows.withColumn("__terms", extract_terms(tokens(whole, model.profile), v.word, v.char))
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    # Plain values only: a broadcast object's class would have to be installed on the executors.
+    held = rows.sparkSession.sparkContext.broadcast(SimpleNamespace(**{k: getattr(model, k) for k in ("labels", "vocabulary", "idf", "weights", "biases", "temperature", "min_confidence", "min_margin")}))
     kept = rows.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 

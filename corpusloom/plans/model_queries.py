@@ -246,7 +246,7 @@ def run_experiment(s, d):
     test = test.join(dev.select("identity").distinct(), "identity", "left_anti")
     g = g.join(dev.select("identity").unionByName(test.select("identity")).distinct(), "identity", "left_anti")
     c = c.join(g.select("identity").unionByName(dev.select("identity")).unionByName(test.select("identity")).distinct(), "identity", "left_anti")
-    _, report = experiment.run(*[x.drop("identity") for x in (g, dev, test, c)], SEED, 100, QUICK, (64, 256), (0.0005, 0.002))
+    _, report = experiment.run(*[x.drop("identity") for x in (g, dev, test, c)], SEED, 100, model.Training(epochs=150, learning_rate=8.0, max_rows=4000), (1024, 2048), (0.0005,))
     rows = [(f"{a}.{b}", float(v)) for a in ("inside", "outside", "quality", "contrast", "naive_bayes") for b, v in report[a].items() if v is not None]
     return s.createDataFrame([*rows, ("temperature", float(report["temperature"]))], "metric string, value double")
 
@@ -266,11 +266,11 @@ _VARIANTS = {
     "horizontal-whitespace": "CASE WHEN contains(text, ' ') OR contains(text, chr(9)) THEN translate(text, concat(' ', chr(9)), concat(chr(9), ' ')) WHEN length(text) < 512 THEN concat(' ', text) END",
     "unicode-compatibility-width": f"translate(text, '{_ALPHA}0123456789', '{_FULL}')",
     "terminal-punctuation": "CASE WHEN length(text) < 512 THEN concat(text, '!') WHEN regexp_full_match(right(text, 1), '[[:punct:]]') THEN concat(left(text, length(text) - 1), CASE WHEN right(text, 1) = '!' THEN '.' ELSE '!' END) END",
-    "single-character-deletion": "CASE WHEN n >= 5 THEN concat(text[:at - 1 + n // 2], text[at + n // 2 + 1:]) END",
-    "adjacent-character-transposition": "CASE WHEN n >= 4 AND i IS NOT NULL THEN concat(text[:at + i - 2], run[i + 1], run[i], text[at + i + 1:]) END",
-    "single-character-duplication": "CASE WHEN n >= 3 AND length(text) < 512 THEN concat(text[:at + n // 2], text[at + n // 2:]) END",
+    "single-character-deletion": "CASE WHEN n >= 5 THEN concat(text[:st - 1 + n // 2], text[st + n // 2 + 1:]) END",
+    "adjacent-character-transposition": "CASE WHEN n >= 4 AND i IS NOT NULL THEN concat(text[:st + i - 2], run[i + 1], run[i], text[st + i + 1:]) END",
+    "single-character-duplication": "CASE WHEN n >= 3 AND length(text) < 512 THEN concat(text[:(st + n // 2)], text[st + n // 2:]) END",
 }
-PERTURBED = f"WITH b AS (SELECT row_no, text, {_RUN} AS run FROM ({PROMPTS})), r AS (SELECT *, coalesce(length(run), 0) AS n, strpos(text, run) AS at FROM b), r2 AS (SELECT *, list_reduce(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1]), lambda a, b: CASE WHEN abs(b - (n // 2 + 1)) < abs(a - (n // 2 + 1)) THEN b ELSE a END) AS i FROM r WHERE len(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1])) > 0 UNION ALL SELECT *, NULL FROM r WHERE len(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1])) = 0), u AS (" + " UNION ALL ".join(f"SELECT row_no, text, '{name}' AS perturbation, '{family}' AS family, {_VARIANTS[name]} AS v FROM r2" for name, family, _ in SUITE) + "), va AS (SELECT row_no, text, perturbation, family, CASE WHEN v <> text AND length(v) <= 512 THEN v END AS variant FROM u)"
+PERTURBED = f"WITH b AS (SELECT row_no, text, {_RUN} AS run FROM ({PROMPTS})), r AS (SELECT *, coalesce(length(run), 0) AS n, strpos(text, run) AS st FROM b), r2 AS (SELECT *, list_reduce(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1]), lambda a, b: CASE WHEN abs(b - (n // 2 + 1)) < abs(a - (n // 2 + 1)) THEN b ELSE a END) AS i FROM r WHERE len(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1])) > 0 UNION ALL SELECT *, NULL FROM r WHERE len(list_filter(range(1, greatest(n, 1)), lambda i: run[i] <> run[i + 1])) = 0), u AS (" + " UNION ALL ".join(f"SELECT row_no, text, '{name}' AS perturbation, '{family}' AS family, {_VARIANTS[name]} AS v FROM r2" for name, family, _ in SUITE) + "), va AS (SELECT row_no, text, perturbation, family, CASE WHEN v <> text AND length(v) <= 512 THEN v END AS variant FROM u)"
 
 
 @query(f"{PERTURBED} SELECT row_no, perturbation, variant FROM va")
