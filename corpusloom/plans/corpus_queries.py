@@ -12,6 +12,7 @@ from ..operators import contracts as C
 from ..operators import features as V
 from ..operators import partitions as P
 from ..operators import similarity as S
+from ..operators.layout import spread
 from .inputs import LABELLED, PROMPTS, labelled, norm_sql, prompts, table, tokens_sql
 from .text_queries import ORACLE as TEXT_ORACLE
 from .text_queries import SEED, fnv_sql
@@ -69,7 +70,7 @@ NEAR = 0.8
 
 
 def _feature_sets(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "grouped_examples").where("text IS NOT NULL")
+    rows = spread(table(s, d, "grouped_examples").select("row_no", "group_id", "label", "text")).where("text IS NOT NULL")
     return rows.select("row_no", "group_id", "label", F.array_distinct(word_ngrams(tokens("text"), 1, 2)).alias("members"))
 
 

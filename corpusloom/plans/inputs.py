@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
+
 LABELS = ["feeling", "goal", "greeting", "observation", "ownership", "question", "reason"]
 
 # SQL fragments. White space is spelled out because the SQL engine's \s is ASCII only.
@@ -26,7 +28,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Labelled prompts: ``row_no``, ``id``, ``label``, ``text``."""
-    return table(spark, d, "intents_v1").where("text IS NOT NULL").select("row_no", "id", "label", "text")
+    return spread(table(spark, d, "intents_v1").select("row_no", "id", "label", "text")).where("text IS NOT NULL")
 
 
 PROMPTS = "SELECT row_no, id, label, text FROM intents_v1 WHERE text IS NOT NULL"
