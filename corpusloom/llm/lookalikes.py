@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.layout import spread
+
 # Letters drawn like a Latin one, by the Latin one they look like.
 LOOKALIKES = {
     "a": "аɑ", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛ", "s": "ѕꜱ", "u": "ս", "v": "νѵᴠ", "w": "ԝᴡ", "x": "х", "y": "уү", "z": "ᴢ",
@@ -173,8 +175,8 @@ def lookalike_pairs(forms: DataFrame, by: list[str], row: str, text: str = "text
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
     return (
-        spark.read.parquet(f"{d}/intents_v1.parquet").select(F.lit("intents_v1").alias("table_name"), "row_no", "text")
-        .unionByName(spark.read.parquet(f"{d}/ood_test_v3.parquet").select(F.lit("ood_test_v3").alias("table_name"), "row_no", "text"))
+        spread(spark.read.parquet(f"{d}/intents_v1.parquet").select("row_no", "text")).select(F.lit("intents_v1").alias("table_name"), "row_no", "text")
+        .unionByName(spread(spark.read.parquet(f"{d}/ood_test_v3.parquet").select("row_no", "text")).select(F.lit("ood_test_v3").alias("table_name"), "row_no", "text"))
     )
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.checkpoints import cut
+from ..operators.layout import spread
 from .suffixes import suffixes
 
 SKETCH_BITS = 18  # buckets of the word counts that order the words: a fixed size, whatever the input
@@ -153,7 +154,7 @@ def shared_coverage(rows: DataFrame, row: str = "row_no", text: str = "text", sp
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/grouped_examples.parquet").select("row_no", "group_id", "split_name", "text")
+    return spread(spark.read.parquet(f"{d}/grouped_examples.parquet").select("row_no", "group_id", "split_name", "text"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
+
 CHUNK, CONTEXT = 8192, 256
 
 # Abbreviations after which a sentence always goes on.
@@ -366,4 +368,4 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", chu
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "sent_start", "sent_end")
+    return sentences(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))).select("doc_id", "sent_start", "sent_end")
