@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.checkpoints import cut
 from ..operators.layout import spread
 
 # Letters drawn like a Latin one, by the Latin one they look like.
@@ -144,15 +145,15 @@ def consistent_forms(rows: DataFrame, text: str = "text", out: str = "form") ->
     return stable.unionByName(rows.where(unstable).withColumn(out, F.btrim(spliced(F.col(text)), F.lit(" "))))
 
 
-def variants(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:
-    """Forms written in more than one way: ``by``, ``form_key``, and each distinct text's key.
+def mixed_rows(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:
+    """Rows whose form is written in more than one way: ``by``, ``r``, ``form_key``, ``text_key``.
 
-    Grouped first by text, so that copies of one text cost nothing further.
+    Digests stand for forms and texts. A form's least and greatest text tell whether it is mixed, so copies
+    of one text are one row before the exchange.
     """
-    key = F.sha2("form", 256)
-    each = forms.groupBy(*by, F.unhex(key).alias("form_key"), F.unhex(F.sha2(text, 256)).alias("text_key")).agg(F.count(F.lit(1)).alias("copies"))
-    mixed = each.groupBy(*by, "form_key").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1")
-    return each.join(mixed, [*by, "form_key"])
+    keyed = forms.select(*by, F.col(row).alias("r"), F.unhex(F.sha2("form", 256)).alias("form_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    mixed = keyed.groupBy(*by, "form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select(*by, "form_key")
+    return cut(keyed.join(mixed, [*by, "form_key"]))
 
 
 def lookalike_pairs(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:
@@ -161,14 +162,13 @@ def lookalike_pairs(forms: DataFrame, by: list[str], row: str, text: str = "text
     Pairs are made between distinct texts and then expanded to rows, so that equal copies are never
     compared with each other: the work is that of the pairs in the result.
     """
-    forms = forms.where(F.col(text).isNotNull())
-    ways = variants(forms, by, row, text)
-    left = ways.select(*by, "form_key", F.col("text_key").alias("ka"))
-    right = ways.select(*by, "form_key", F.col("text_key").alias("kb"))
+    members = mixed_rows(forms.where(F.col(text).isNotNull()), by, row, text)
+    ways = members.select(*by, "form_key", "text_key").distinct()
+    left = ways.withColumnRenamed("text_key", "ka")
+    right = ways.withColumnRenamed("text_key", "kb")
     two = left.join(right, [*by, "form_key"]).where("ka < kb").select(*by, "ka", "kb")
-    members = forms.select(*by, F.unhex(F.sha2(text, 256)).alias("k"), F.col(row).alias("r"))
-    a = members.select(*by, F.col("k").alias("ka"), F.col("r").alias("ra"))
-    b = members.select(*by, F.col("k").alias("kb"), F.col("r").alias("rb"))
+    a = members.select(*by, F.col("text_key").alias("ka"), F.col("r").alias("ra"))
+    b = members.select(*by, F.col("text_key").alias("kb"), F.col("r").alias("rb"))
     pairs = two.join(a, [*by, "ka"]).join(b, [*by, "kb"])
     return pairs.select(*by, F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
