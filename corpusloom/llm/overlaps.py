@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.checkpoints import cut
 from ..operators.layout import spread
-from .suffixes import suffixes
+from .suffixes import crossing_suffixes, plain_suffixes
 
 SKETCH_BITS = 18  # buckets of the word counts that order the words: a fixed size, whatever the input
 WIDTH = math.log(1.1)  # partners' lengths are matched in geometric steps
@@ -137,19 +137,15 @@ def split_overlaps(rows: DataFrame, row: str = "row_no", text: str = "text", spl
 def shared_coverage(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", span: int = SPAN, profile: str = "v3") -> DataFrame:
     """Per evaluation record with at least ``span`` words: ``n_words``, ``covered`` (words in spans shared with training).
 
-    Suffixes are sorted by their first ``span`` words. Training suffixes that begin alike are made one
-    before the sort, so a span that a third of all training rows share is one suffix there.
+    The sorted suffixes of both sides show which spans cross; a record's spans are merged by their reach.
     """
-    names = [f"w{k + 1}" for k in range(span)]
-    known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull())
-    toks = tokens(text, profile)
-    seen = suffixes(known.where(F.col(split) == train), row, toks, span).where(f"w{span} IS NOT NULL").select(*names).distinct()
-    own = suffixes(known.where(F.col(split) != train), row, toks, span).where(f"w{span} IS NOT NULL").select(*names, "record", "pos")
-    hits = own.join(seen, names).select("record", "pos")
+    known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull()).select(row, (F.col(split) == train).alias("tr"), tokens(text, profile).alias("words"))
+    hits = crossing_suffixes(plain_suffixes(known, row, F.col("words"), span, ["tr"]), "tr", span)
+    # A record's own hits are bounded by its words.
     reach = F.max(F.col("pos") + F.lit(span)).over(Window.partitionBy("record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    new = hits.select("record", (F.col("pos") + span - F.greatest(F.col("pos"), F.coalesce(reach, F.lit(0)))).alias("fresh"))
-    covered = new.groupBy("record").agg(F.sum("fresh").alias("covered"))
-    sizes = known.where(F.col(split) != train).select(F.col(row).alias("record"), F.size(toks).cast("bigint").alias("n_words")).where(F.col("n_words") >= span)
+    fresh = hits.select("record", (F.col("pos") + span - F.greatest(F.col("pos"), F.coalesce(reach, F.lit(0)))).alias("fresh"))
+    covered = fresh.groupBy("record").agg(F.sum("fresh").alias("covered"))
+    sizes = known.where("NOT tr").select(F.col(row).alias("record"), F.size("words").cast("bigint").alias("n_words")).where(F.col("n_words") >= span)
     return sizes.join(covered, "record", "left").select(F.col("record").alias(row), "n_words", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"))
 
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import cut
+
 
 def suffixes(rows: DataFrame, record: str, toks: Column, depth: int) -> DataFrame:
     """One row per word position: ``record``, ``pos``, words ``w1``.. (null past the end), ``dup``.
@@ -38,6 +40,66 @@ def suffixes(rows: DataFrame, record: str, toks: Column, depth: int) -> DataFram
     return local.select("record", F.explode(with_dup).alias("e")).select("record", "e.x.*", "e.dup")
 
 
+def plain_suffixes(rows: DataFrame, record: str, toks: Column, depth: int, keep: list[str]) -> DataFrame:
+    """Suffixes of at least ``depth`` words: ``record``, ``keep``, ``pos`` (from 1), ``w1``.. without gaps."""
+    words = F.transform(F.sequence(F.lit(1), F.size("toks") - (depth - 1)), lambda i: F.struct(i.alias("pos"), *[F.get(F.col("toks"), i + (k - 1)).alias(f"w{k + 1}") for k in range(depth)]))
+    return rows.select(F.col(record).alias("record"), *keep, toks.alias("toks")).where(F.size("toks") >= depth).select("record", *keep, F.explode(words).alias("e")).select("record", *keep, "e.*")
+
+
+def crossing_suffixes(suf: DataFrame, inside: str, depth: int) -> DataFrame:
+    """``record``, ``pos`` of the suffixes without ``inside`` whose first ``depth`` words also begin one with it.
+
+    Suffixes are sorted over all partitions, those inside first among equal ones. A run of equal suffixes is then
+    decided by its first row, unless it came over from an earlier partition; only a partition's first run can have. Such
+    rows stay open, and every partition says which words end it and whether that run has an inside suffix: two rows a
+    partition at most, broadcast to settle the open ones.
+    """
+    names = [f"w{k + 1}" for k in range(depth)]
+    order = [*map(F.col, names), F.col(inside).desc(), F.col("record"), F.col("pos")]
+    ordered = suf.repartitionByRange(*order).sortWithinPartitions(*order).select(*names, inside, "record", "pos")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met, first_run = None, False, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(c) for c in names]
+            same = np.ones(n, bool)
+            for c in cols:
+                same[1:] &= pc.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            head = [c[0].as_py() for c in cols]
+            same[0] = last is not None and head == last
+            own = batch.column(inside).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(~same)
+            starts = begins if len(begins) and begins[0] == 0 else np.concatenate([[0], begins]).astype(np.int64)
+            has = np.logical_or.reduceat(own, starts)
+            if same[0]:
+                has[0] |= met
+            run = np.cumsum(~same) - (0 if same[0] else 1)
+            in_first = np.zeros(len(starts), bool)
+            in_first[0] = first_run if same[0] else last is None
+            if last is not None and not same[0]:
+                first_run = False
+            found = ~own & has[run]
+            open_ = ~own & ~has[run] & in_first[run]
+            at = np.flatnonzero(found | open_)
+            if len(at):
+                words = pa.array([[c[int(i)].as_py() for c in cols] if open_[i] else None for i in at], pa.list_(pa.string()))
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("record").take(take), batch.column("pos").take(take), words, pa.array(found[at])], ["record", "pos", "words", "found"])
+            if len(starts) > 1:
+                first_run = False
+            last, met = [c[n - 1].as_py() for c in cols], bool(has[-1])
+        if last is not None and met:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([last], pa.list_(pa.string())), pa.array([True])], ["record", "pos", "words", "found"])
+
+    seen = cut(ordered.mapInArrow(scan, "record bigint, pos int, words array<string>, found boolean"))
+    ends = seen.where("record IS NULL").select("words").distinct()  # at most one row a partition
+    settled = seen.where("record IS NOT NULL AND NOT found").join(F.broadcast(ends), "words", "left_semi")
+    return seen.where("record IS NOT NULL AND found").select("record", "pos").unionByName(settled.select("record", "pos"))
+
+
 def sort_suffixes(suf: DataFrame, depth: int) -> DataFrame:
     order = [F.col(f"w{k + 1}").asc_nulls_first() for k in range(depth)] + [F.col("record")]
     return suf.repartitionByRange(*order).sortWithinPartitions(*order)
