@@ -181,14 +181,15 @@ def _top(rec: np.ndarray, order_value: np.ndarray, name_rank: np.ndarray, keep:
 
 
 def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rows`` with the columns of PREDICTION. No row moves to another task."""
+    """``rows`` with the columns of PREDICTION, which replace any of the same names. No row moves to another task."""
     whole = F.when(F.length(text) > MAX_CHARS, F.lit("")).otherwise(F.coalesce(text, F.lit(""))) if model.profile == "v3" else F.coalesce(text, F.lit(""))
     v = model.vectorizer
     prepared = rows.withColumn("__terms", extract_terms(tokens(whole, model.profile), v.word, v.char))
     # Plain values only: a broadcast object's class would have to be installed on the executors.
     held = rows.sparkSession.sparkContext.broadcast(SimpleNamespace(**{k: getattr(model, k) for k in ("labels", "vocabulary", "idf", "weights", "biases", "temperature", "min_confidence", "min_margin")}))
-    kept = rows.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    made = {*("predicted", "accepted", "confidence", "margin", "has_features", "probabilities", "logits", "top_features", "runner_up", "logit_margin", "reconstructed_margin", "contrast")}
+    kept = [c for c in rows.columns if c not in made]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -243,4 +244,4 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *out.values()], [*kept, *out])
 
-    return prepared.mapInArrow(run, f"{ddl}, {PREDICTION}")
+    return prepared.mapInArrow(run, f"{ddl}, {PREDICTION}" if ddl else PREDICTION)
