@@ -53,8 +53,10 @@ def fill(sizes: np.ndarray, sources: np.ndarray, shares: np.ndarray, deficit: np
                 s = int(np.argmax(np.where(open_, deficit, -np.inf)))
                 k = bisect.bisect_right(queues[s], free) - 1
             else:
+                # Among sources that haven't had much more than their share, if any of those fits.
+                fair = open_ & (deficit * NEAR_END * NEAR_END > -capacity)
                 s, k, best = -1, -1, -1
-                for c in np.flatnonzero(open_):
+                for c in np.flatnonzero(fair if fair.any() else open_):
                     j = bisect.bisect_right(queues[c], free) - 1
                     size = queues[c][j]
                     if size > best or (size == best and deficit[c] > deficit[s]):

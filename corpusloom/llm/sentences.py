@@ -266,23 +266,28 @@ def symbols(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
             yield 5 + 4 * QUOTE_CHARS.index(ch) + 2 * ends + can_open, j
 
 
-def transition(text: str, low: int, high: int, step: np.ndarray) -> np.ndarray:
-    """The state after the chunk for every state before it."""
-    f = np.arange(len(step), dtype=np.int16)
-    for s, _ in symbols(text, low, high):
+def transition(text: str, low: int, high: int, step: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every state before the chunk, the state after it and how far its last sentence reaches into the next one."""
+    f, over = np.arange(len(step), dtype=np.int16), np.zeros(len(step), np.int32)
+    for s, j in symbols(text, low, high):
+        if j > high:
+            over = np.where(out[f, s] > 0, j - high, over)
         f = step[f, s]
-    return f
+    return f, over
+
 
+def spans(text: str, low: int, high: int, state: int, step: list, out: list, taken: int = 0) -> tuple[list[tuple[int, int, int]], int]:
+    """Pieces of sentences in the chunk: first place, place after, and how many ends precede; and all ends.
 
-def spans(text: str, low: int, high: int, state: int, step: list, out: list) -> tuple[list[tuple[int, int, int]], int]:
-    """Pieces of sentences in the chunk: first place, place after, and how many ends precede; and all ends."""
-    cuts, last = [], low
+    The first ``taken`` characters belong to a sentence that ended in the chunk before.
+    """
+    cuts, last = [], low + taken
     for s, j in symbols(text, low, high):
         if out[state][s] and j > last:
             cuts.append(j)
             last = j
         state = step[state][s]
-    pieces, a = [], low
+    pieces, a = [], low + taken
     for k, b in enumerate([*cuts, max(high, last)]):
         x = text[a : min(b, len(text))]
         body = x.strip()
@@ -335,24 +340,28 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", chu
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            f = [transition(t, lo, hi, rules[0]).tolist() for t, lo, hi in zip(d["t"], d["low"], d["high"])]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("c"), pa.array(f, pa.list_(pa.int32()))], ["k", "c", "f"])
-
-    # The scan: element c of the result is the state before chunk c.
-    scan = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("c", "f"))),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(x["f"], F.element_at(acc, -1) + 1))),
-    )
-    starts = chunks.select("k", "c", "base", "low", "high", "t").mapInArrow(functions, f"k {kind}, c int, f array<int>").groupBy("k").agg(scan.alias("states")).select("k", F.posexplode("states").alias("c", "state"))
+            both = [transition(t, lo, hi, *rules[:2]) for t, lo, hi in zip(d["t"], d["low"], d["high"])]
+            f, o = (pa.array([x[i].tolist() for x in both], pa.list_(pa.int32())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("c"), f, o], ["k", "c", "f", "o"])
+
+    # The scan: element c of the result is the state before chunk c, and what of it the chunk before took.
+    def before(state, taken):
+        return F.struct(state.cast("int").alias("state"), taken.cast("int").alias("taken"))
+
+    def further(acc, x):
+        at = F.element_at(acc, -1)["state"] + 1
+        return F.concat(acc, F.array(before(F.element_at(x["f"], at), F.element_at(x["o"], at))))
+
+    scan = F.aggregate(F.array_sort(F.collect_list(F.struct("c", "f", "o"))), F.array(before(F.lit(0), F.lit(0))), further)
+    starts = chunks.select("k", "c", "base", "low", "high", "t").mapInArrow(functions, f"k {kind}, c int, f array<int>, o array<int>").groupBy("k").agg(scan.alias("states")).select("k", F.posexplode("states").alias("c", "s")).select("k", "c", "s.*")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, out = rules[0].tolist(), rules[1].tolist()
         for batch in batches:
             d = batch.to_pydict()
             rows, part, lo, hi, ends = [], [], [], [], []
-            for r, (t, low, high, base, state) in enumerate(zip(d["t"], d["low"], d["high"], d["base"], d["state"])):
-                found, all_ends = spans(t, low, high, state, step, out)
+            for r, (t, low, high, base, state, taken) in enumerate(zip(d["t"], d["low"], d["high"], d["base"], d["state"], d["taken"])):
+                found, all_ends = spans(t, low, high, state, step, out, taken)
                 for a, b, k in [*found, (-1, -1, all_ends)]:
                     rows.append(r), part.append(k), lo.append(base + a if b >= 0 else -1), hi.append(base + b if b >= 0 else -1), ends.append(all_ends)
             at = pa.array(rows, pa.int64())
@@ -361,8 +370,8 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", chu
     cut = chunks.join(starts, ["k", "c"]).mapInArrow(pieces, f"k {kind}, c int, part bigint, a bigint, b bigint, ends bigint")
     order = Window.partitionBy("k").orderBy("c")
     # Ends in all chunks before; the row with a = -1 carries a chunk's count even where it has no piece.
-    before = cut.where("a < 0").select("k", "c", (F.sum("ends").over(order) - F.col("ends")).alias("before"))
-    merged = cut.where("a >= 0").join(before, ["k", "c"]).groupBy("k", (F.col("before") + F.col("part")).alias("s")).agg(F.min("a").alias("sent_start"), F.max("b").alias("sent_end"))
+    counted = cut.where("a < 0").select("k", "c", (F.sum("ends").over(order) - F.col("ends")).alias("before"))
+    merged = cut.where("a >= 0").join(counted, ["k", "c"]).groupBy("k", (F.col("before") + F.col("part")).alias("s")).agg(F.min("a").alias("sent_start"), F.max("b").alias("sent_end"))
     long = merged.select("k", F.row_number().over(Window.partitionBy("k").orderBy("s")).cast("bigint").alias("sent_no"), "sent_start", "sent_end")
     return short.unionByName(long).withColumnRenamed("k", key)
 

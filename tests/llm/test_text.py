@@ -1,0 +1,166 @@
+import collections
+import itertools
+import math
+import random
+import re
+import unicodedata
+
+import pytest
+import regex
+from corpusloom.llm import distinctive as D
+from corpusloom.llm import frequencies as Q
+from corpusloom.llm import lookalikes as L
+from corpusloom.llm import overlaps as O
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+SAME = [("ﬁnd", "find"), ("e​́", "é"), ("ё", "ë"), ("ｆ４０", "f40"), ("Kelvin", "Kelvin"), ("가", "가"), ("a\xa0b", "a b"), (" x　", "x"), ("сор", "cop"), ("Βeta", "Beta"), ("Ⅳ", "IV"), ("﻿a\xadb", "ab"), ("ﾊﾞ", "バ"), ("á̧", "á̧")]
+DIFFERENT = [("①", "1"), ("2²", "22"), ("a", "A"), ("e", "é"), ("x.", "x"), ("l", "1"), ("O", "0"), ("a  b", "a b"), ("it's", "its")]
+
+
+def test_forms():
+    for a, b in SAME:
+        assert L.consistent_form(a) == L.consistent_form(b), (a, b)
+    for a, b in DIFFERENT:
+        assert L.consistent_form(a) != L.consistent_form(b), (a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abȩ́́̈​　 ѕоﬁｆ①²각가한ёйΒKﾊﾞகொ"), st.characters(exclude_categories=["Cs"])), max_size=12))
+def test_spliced_segments_equal_the_full_normalisation(t):
+    form = L.consistent_form(t)
+    assert form == L.form_of(t).strip(" ")
+    assert L.consistent_form(form) == form and unicodedata.is_normalized("NFC", form)
+
+
+def test_pairs_against_brute_force(spark):
+    rng = random.Random(3)
+    base = ["café au lait", "find it", "", "Beta x", "a b"]
+    change = [lambda t: t, lambda t: t.replace("é", "é"), lambda t: t.replace("fi", "ﬁ"), lambda t: t + " ", lambda t: t.replace("a", "а"), lambda t: "​" + t, lambda t: t.upper()]
+    rows = [("t" if i % 3 else "u", i, rng.choice(change)(rng.choice(base)) if i % 11 else None, "clash", "r") for i in range(150)]
+    df = spark.createDataFrame(rows, "table_name string, row_no long, text string, form string, ka string")
+    got = [tuple(r) for r in L.lookalike_pairs(L.consistent_forms(df), ["table_name"], "row_no").collect()]
+    want = {(a[0], a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] is not None and b[2] is not None and a[2] != b[2] and L.form_of(a[2]).strip(" ") == L.form_of(b[2]).strip(" ")}
+    assert set(got) == want and len(got) == len(want)
+    assert L.lookalike_pairs(L.consistent_forms(df.limit(0)), ["table_name"], "row_no").count() == 0
+
+
+def _tokens(t, nfkc=False):
+    t = unicodedata.normalize("NFKC", t) if nfkc else t
+    return [w for w in (x.strip("'") for x in regex.findall(r"[\p{Alphabetic}\p{N}']+", t.lower())) if w]
+
+
+@pytest.fixture(scope="module")
+def prompts(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        n = rng.choice([0, 1, 3, 8, 20])
+        t = " ".join("the" if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(n))
+        rows.append((i, rng.choice(["goal", "reason", "feeling", "Goal ", None]), t if i % 17 else None, "clash"))
+    rows.append((999, "goal", "the end " * 3000, "clash"))
+    return rows, spark.createDataFrame(rows, "row_no long, label string, text string, n string")
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_ngram_counts_against_brute_force(spark, prompts, parts):
+    rows, df = prompts
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {tuple(r["words"]): (r["occurrences"], r["records"]) for r in Q.ngram_counts(df, "row_no").collect()}
+        occ, rec = collections.Counter(), collections.Counter()
+        for _, _, t, _ in rows:
+            w = _tokens(t or "")
+            grams = [tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+            occ.update(grams)
+            rec.update(set(grams))
+        assert got == {g: (occ[g], rec[g]) for g in occ}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    marks = {r["words"][0]: r["mark"] for r in Q.marked_counts(df, "row_no").where("n = 1").collect()}
+    total = sum(t is not None for _, _, t, _ in rows)
+    assert marks == {g[0]: "rare" if n == 1 else "common" if n > 0.05 * total else None for g, n in rec.items() if len(g) == 1}
+    assert Q.ngram_counts(df.limit(0), "row_no").count() == 0
+
+
+def test_scores_against_the_formula(spark, prompts):
+    rows, df = prompts
+    counts = D.word_counts(df, ["row_no", "label"], "text", "v1")
+    stats = D.word_statistics(counts, "label", D.LABELS)
+    got = {(r["row_no"], r["term"]): r for r in D.record_scores(counts.drop("label"), stats, df, "row_no").collect()}
+    toks = {i: _tokens(t) for i, _, t, _ in rows if t is not None}
+    d = collections.Counter(w for t in toks.values() for w in set(t))
+    f = collections.Counter(w for t in toks.values() for w in t)
+    total, mean = len(toks), sum(map(len, toks.values())) / len(toks)
+    want = {(i, w): n for i, t in toks.items() for w, n in collections.Counter(t).items()}
+    assert {k: r["n"] for k, r in got.items()} == want
+    for (i, w), n in want.items():
+        tfn, lam = n * math.log2(1 + mean / len(toks[i])), f[w] / total
+        score = (math.log2(1 + lam) + tfn * math.log2((1 + lam) / lam)) / (tfn + 1)
+        assert got[i, w]["d"] == d[w] and got[i, w]["total"] == total and got[i, w]["score"] == pytest.approx(score)
+    labels = {(r["label"], r["term"]): (r["d_label"], r["d_all"]) for r in D.label_scores(stats, D.LABELS).collect()}
+    seven = {i: y for i, y, t, _ in rows if t is not None and y in D.LABELS}
+    own = collections.Counter((seven[i], w) for i in seven for w in set(toks[i]))
+    every = collections.Counter(w for i in seven for w in set(toks[i]))
+    assert labels == {(y, w): (n, every[w]) for (y, w), n in own.items()}
+    empty = D.word_counts(df.limit(0), ["row_no", "label"], "text", "v1")
+    assert D.record_scores(empty.drop("label"), D.word_statistics(empty, "label", D.LABELS), df.limit(0), "row_no").count() == 0
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(260):
+        if rows and rng.random() < 0.5:
+            w = _tokens(rng.choice(rows)[3] or "", True)
+            for _ in range(rng.randint(0, 4)):
+                if w and rng.random() < 0.5:
+                    w.pop(rng.randrange(len(w)))
+                else:
+                    w.insert(rng.randint(0, len(w)), f"n{rng.randint(0, 30)}")
+            rng.shuffle(w)
+        else:
+            w = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.choice([0, 1, 2, 5, 9, 14, 30]))]
+        rows.append((i, "clash", rng.choice(["train", "train", "development", "id-test", None]), " ".join(w) if rng.random() < 0.95 else None))
+    df = spark.createDataFrame(rows, "row_no long, rep string, split_name string, text string")
+    sets = [(i, s, set(_tokens(t, True))) for i, _, s, t in rows if s is not None and t is not None]
+    for tenths in (5, 7, 10):
+        want = {(a[0], b[0]) for a in sets for b in sets if a[1] == "train" != b[1] and a[2] and 10 * len(a[2] & b[2]) >= tenths * len(a[2] | b[2])}
+        got = [tuple(r) for r in O.split_overlaps(df, tenths=tenths).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert O.split_overlaps(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_coverage_against_brute_force(spark, parts):
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["train", "id-test", None]), " ".join(rng.choice(["a", "b", "c"]) for _ in range(rng.choice([0, 4, 5, 9, 60])))) for i in range(120)] + [(500, "train", "a " * 3000), (501, "id-test", "a " * 3000), (502, "id-test", None)]
+    df = spark.createDataFrame(rows, "row_no long, split_name string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["row_no"]: (r["n_words"], r["covered"]) for r in O.shared_coverage(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    seen = {tuple(w[i : i + 5]) for _, s, t in rows if s == "train" and t for w in [t.split()] for i in range(len(w) - 4)}
+    want = {}
+    for r, s, t in rows:
+        w = (t or "").split()
+        if s == "id-test" and len(w) >= 5:
+            want[r] = (len(w), len({j for i in range(len(w) - 4) if tuple(w[i : i + 5]) in seen for j in range(i, i + 5)}))
+    assert got == want
+
+
+def test_the_reason_for_prefixes_holds():
+    """Random sets at any similarity share a member early enough."""
+    import numpy as np
+
+    for n in range(1, 40):
+        for m in range(max(1, math.ceil(0.7 * n)), int(n / 0.7) + 1):
+            least = int(O._least_shared(np.array([n]), np.array([m]), 0.7)[0])
+            for shared in range(1, min(n, m) + 1):
+                if 10 * shared >= 7 * (n + m - shared):
+                    assert shared >= least
+    assert re and F
