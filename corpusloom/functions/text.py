@@ -122,6 +122,16 @@ def extract_terms(toks: Column | str, w: tuple[int, int] = (1, 2), c: tuple[int,
     return let(col(toks), lambda t: F.when(F.size(t) > 0, F.concat(word_ngrams(t, *w), char_ngrams(t, *c))).otherwise(F.array().cast("array<string>")))
 
 
+def run_lengths(items: Column) -> Column:
+    """Distinct items of an array with how often each occurs, sorted: (``item``, ``n``). Counted within the row, without an exchange."""
+
+    def count(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("item"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("bigint").alias("n"))))
+
+    return let(F.array_sort(items), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(F.array().cast("array<struct<item:string,n:bigint>>")))
+
+
 def valid_feature_name(c: Column | str) -> Column:
     """Shape of a feature name: kind, size in range, payload without colon and of that size."""
     c = col(c)

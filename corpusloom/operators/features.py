@@ -6,12 +6,17 @@ features; an empty corpus has an empty vocabulary.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_terms, quantize, tokens
+from ..functions.text import extract_terms, quantize, run_lengths, tokens
 
 
 @dataclass(frozen=True)
@@ -32,9 +37,9 @@ class Vectorizer:
 
 
 def term_counts(rows: DataFrame, key: str, text: str = "text", profile: str = "v1", vectorizer: Vectorizer = Vectorizer()) -> DataFrame:
-    """key, ``term``, ``n``."""
-    terms = rows.select(key, F.explode(extract_terms(tokens(text, profile), vectorizer.word, vectorizer.char)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    """key, ``term``, ``n``: counted within each row."""
+    counted = rows.select(key, F.explode(run_lengths(extract_terms(tokens(text, profile), vectorizer.word, vectorizer.char))).alias("e"))
+    return counted.select(key, F.col("e.item").alias("term"), "e.n")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -59,17 +64,42 @@ def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return met.select(key, "position", ((F.lit(1.0) + F.log("n")) * F.col("idf")).alias("value"))
 
 
-def sparse_rows(weighted: DataFrame, key: str) -> DataFrame:
-    """key, ``features``: array of (position, value) by position, of Euclidean length one.
-
-    A row's list is bounded by the vocabulary. Squares are summed by position, so the result doesn't
-    depend on how rows travelled.
-    """
-    lists = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("f"))
-    norm = F.sqrt(F.aggregate("f", F.lit(0.0), lambda acc, x: acc + x["value"] * x["value"]))
-    scaled = lists.withColumn("norm", norm)
-    return scaled.select(key, F.transform("f", lambda x: F.struct(x["position"].alias("position"), (x["value"] / F.col("norm")).alias("value"))).alias("features"))
+def sparse_batch(lists: pa.ListArray, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, positions and values of a batch of term lists, by row and position; each row of Euclidean length one."""
+    n = len(lists)
+    rec = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    found = pc.index_in(lists.flatten(), value_set=vocabulary)
+    at = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    position = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+    width = max(1, len(idf))
+    code, count = np.unique(rec[at] * width + position, return_counts=True)
+    rec, position = code // width, code % width
+    if not len(code):
+        return rec, position, np.zeros(0)
+    logs = np.array([1.0 + math.log(c) for c in range(1, int(count.max()) + 1)])
+    value = logs[count - 1] * idf[position]
+    # bincount adds in order, so a row's squares are summed by position.
+    return rec, position, value / np.sqrt(np.bincount(rec, weights=value * value, minlength=n))[rec]
 
 
 def transform(rows: DataFrame, vocab: DataFrame, key: str, text: str = "text", profile: str = "v1", vectorizer: Vectorizer = Vectorizer()) -> DataFrame:
-    return sparse_rows(weights(term_counts(rows, key, text, profile, vectorizer), vocab, key), key)
+    """key, ``features``: array of (position, value) by position, of Euclidean length one; empty without known terms.
+
+    Map-only: terms are made in the JVM and looked up in Arrow batches against the vocabulary, whose size is
+    bounded by ``max_features``. Rows without text are left out.
+    """
+    terms = vocab.orderBy("position").select("term", "idf").collect()
+    held = rows.sparkSession.sparkContext.broadcast(([t["term"] for t in terms], [t["idf"] for t in terms]))
+    kind = rows.schema[key].dataType.simpleString()
+    prepared = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), extract_terms(tokens(text, profile), vectorizer.word, vectorizer.char).alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = held.value
+        vocabulary, idf = pa.array(names, pa.string()), np.array(idf, float)
+        for batch in batches:
+            rec, position, value = sparse_batch(batch.column("terms"), vocabulary, idf)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rec, minlength=batch.num_rows))])
+            pairs = pa.StructArray.from_arrays([pa.array(position, pa.int32()), pa.array(value, pa.float64())], ["position", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["k", "features"])
+
+    return prepared.mapInArrow(run, f"k {kind}, features array<struct<position:int,value:double>>").withColumnRenamed("k", key)

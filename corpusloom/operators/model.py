@@ -21,7 +21,6 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,19 +200,7 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            lists = batch.column("__terms")
-            flat = lists.flatten()
-            rec = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            found = pc.index_in(flat, value_set=vocabulary)
-            at = pc.is_valid(found).to_numpy(zero_copy_only=False)
-            position = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)[at]
-            rec = rec[at]
-            code, count = np.unique(rec * max(1, len(rank)) + position, return_counts=True)
-            rec, position = code // max(1, len(rank)), code % max(1, len(rank))
-            logs = np.array([1.0 + math.log(c) for c in range(1, int(count.max()) + 1)]) if len(count) else np.zeros(0)
-            value = logs[count - 1] * idf[position] if len(count) else np.zeros(0)
-            norm = np.sqrt(np.bincount(rec, weights=value * value, minlength=n))
-            value = value / norm[rec] if len(value) else value
+            rec, position, value = V.sparse_batch(batch.column("__terms"), vocabulary, idf)
             logits = sparse_logits(rec, position, value, n, w, b)
             p = softmax_rows(logits, m.temperature)
             order = np.argsort(-p, axis=1, kind="stable")
