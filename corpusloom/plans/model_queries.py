@@ -14,7 +14,7 @@ from ..operators import bootstrap, bundle, calibrate, experiment, metrics, model
 from ..operators.features import Vectorizer
 from ..sources import jsonl, tsv
 from ..sources.sinks import json_lines
-from .inputs import LABELLED, PROMPTS, UTTERANCES, labelled, norm_sql, prompts, table, tokens_sql, utterances
+from .inputs import LABELLED, PROMPTS, UTTERANCES, labelled, nfkc_sql, norm_sql, prompts, table, tokens_sql, utterances
 from .text_queries import SAFETY, SEED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ def scored_sql(source: str, key: str, temperature: float = 1.0, guard: bool = Fa
     voc = ", ".join(f"({i}, '{w}', {IDF[i]!r}::DOUBLE)" for i, w in enumerate(WORDS))
     wts = ", ".join(f"({i}, {k}, {WEIGHT[k][i]!r}::DOUBLE)" for k in range(len(NAMES)) for i in range(len(WORDS)))
     bs = ", ".join(f"({k}, '{n}', {BIAS[k]!r}::DOUBLE)" for k, n in enumerate(NAMES))
-    text = "CASE WHEN length(text) > 512 THEN '' ELSE text END" if guard else "text"
+    text = nfkc_sql("CASE WHEN length(text) > 512 THEN '' ELSE text END") if guard else "text"
     return f"""WITH src AS ({source}), voc(pos, w, idf) AS (VALUES {voc}), wts(pos, k, wt) AS (VALUES {wts}), lab(k, label, bias) AS (VALUES {bs}),
  tk AS (SELECT {key}, unnest({tokens_sql(text)}) AS w FROM src), n AS (SELECT {key}, w, count(*) AS n FROM tk GROUP BY ALL), r AS (SELECT {key}, pos, (1 + ln(n)) * idf AS val FROM n JOIN voc USING (w)),
  v AS (SELECT {key}, pos, val / sqrt(sum(val * val) OVER (PARTITION BY {key})) AS val FROM r), s AS (SELECT {key}, k, sum(val * wt) AS s FROM v JOIN wts USING (pos) GROUP BY ALL),
@@ -92,11 +92,11 @@ def top_features_v1(s, d):
     return rounded(_scored(s, d).select("row_no", F.explode("top_features").alias("f")).select("row_no", "f.feature", "f.contribution"), "contribution")
 
 
-V3 = scored_sql(f"SELECT row_no, text FROM ({PROMPTS}) WHERE regexp_full_match(text, '[\\x20-\\x7E]*')", "row_no", T_V3, True)
+V3 = scored_sql(f"SELECT row_no, text FROM ({PROMPTS})", "row_no", T_V3, True)
 
 
 def _scored_v3(s: SparkSession, d: str) -> DataFrame:
-    return model.score(prompts(s, d).where(F.col("text").rlike(r"^[\x20-\x7E]*$")).select("row_no", "text"), literal_model("v3", T_V3))
+    return model.score(prompts(s, d).select("row_no", "text"), literal_model("v3", T_V3))
 
 
 @query(f"{V3}, c AS (SELECT v.row_no, concat('w1:', w) AS feature, val * (a.wt - b.wt) AS c, logit_margin FROM v JOIN voc USING (pos) JOIN t USING (row_no) JOIN wts a ON a.pos = v.pos AND a.k = t.top JOIN wts b ON b.pos = v.pos AND b.k = t.second), q AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY abs(round(c, 9)) DESC, feature) AS place FROM c) SELECT row_no, feature, round(c, 6) AS contribution, round(logit_margin, 6) AS logit_margin, round(logit_margin, 6) AS reconstructed_margin FROM q WHERE place <= 8")

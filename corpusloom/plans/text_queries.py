@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import router as R
-from .inputs import PROMPTS, UTTERANCES, norm_sql, prompts, table, tokens_sql, utterances
+from .inputs import PROMPTS, UTTERANCES, nfkc_sql, norm_sql, prompts, table, tokens_sql, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,25 +28,11 @@ _per_prompt("tokenize", lambda c: F.array_join(T.tokens(c), "|"), f"array_to_str
 _per_prompt("feature_identity", lambda c: T.feature_identity(T.tokens(c)), f"array_to_string({TOK}, ' ')")
 _per_prompt("contains_word", lambda c: F.array_contains(T.tokens(c), "the"), f"list_contains({TOK}, 'the')")
 _per_prompt("reflect", lambda c: T.reflect(T.tokens(c)), f"array_to_string(list_transform({TOK}, lambda w: CASE w WHEN 'i' THEN 'you' WHEN 'me' THEN 'you' WHEN 'my' THEN 'your' WHEN 'mine' THEN 'yours' WHEN 'am' THEN 'are' WHEN 'you' THEN 'I' WHEN 'your' THEN 'my' WHEN 'yours' THEN 'mine' WHEN 'are' THEN 'am' ELSE w END), ' ')")
-_GRAM2 = "list_transform(range(1, len(t)), lambda i: concat('w2:', t[i], '_', t[i + 1]))"
-_per_prompt("input_boundary", lambda c: F.length(c) > 64, "length(text) > 64")
+QUERIES["input_boundary"] = lambda s, d: table(s, d, "documents").where("text IS NOT NULL").select("doc_id", (F.length("text") > T.MAX_CHARS).alias("oversize"))
+ORACLE["input_boundary"] = "SELECT doc_id, length(text) > 512 AS oversize FROM documents WHERE text IS NOT NULL"
 
 
-def text_normalize_nfkc(s: SparkSession, d: str) -> DataFrame:
-    """The v3 form of the texts on which NFKC is known to change nothing; their SQL form needs no NFKC."""
-    return prompts(s, d).where(F.col("text").rlike(r"^[\x20-\x7E]*$")).select("row_no", T.normalize_nfkc("text").alias("value"))
-
-
-QUERIES["text_normalize_nfkc"] = text_normalize_nfkc
-ORACLE["text_normalize_nfkc"] = rf"SELECT row_no, {norm_sql('text')} AS value FROM ({PROMPTS}) WHERE regexp_full_match(text, '[\x20-\x7E]*')"
-
-
-def text_normalize_nfkc_all(s: SparkSession, d: str) -> DataFrame:
-    """The v3 form of all prompts; SQL has no NFKC, so this one is tested against Python."""
-    return prompts(s, d).select("row_no", T.normalize_nfkc("text").alias("value"))
-
-
-QUERIES["text_normalize_nfkc_all"] = text_normalize_nfkc_all
+_per_prompt("text_normalize_nfkc", T.normalize_nfkc, norm_sql(nfkc_sql("text")))
 
 
 def _terms(name: str, value: Callable[[Column], Column], sql: str) -> None:
