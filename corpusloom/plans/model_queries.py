@@ -282,14 +282,33 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return robustness.audit(prompts(s, d), literal_model("v3", T_V3))
 
 
-@query()
+_AUDITED = f"SELECT rid, text FROM ({PERTURBED} SELECT concat(row_no, '|', perturbation) AS rid, variant AS text FROM va WHERE variant IS NOT NULL UNION ALL SELECT concat(row_no, '|base'), text FROM ({PROMPTS}))"
+_AUDIT = (
+    scored_sql(_AUDITED, "rid", T_V3, True)
+    + f", ov AS (SELECT concat(row_no, '|base') AS b, concat(row_no, '|', perturbation) AS v, perturbation, family FROM ({PERTURBED} SELECT * FROM va)), "
+    + "js AS (SELECT x.rid AS v, greatest(0, least(1, sum((CASE WHEN x.p > 0 THEN x.p * ln(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN y.p * ln(2 * y.p / (x.p + y.p)) ELSE 0 END) / 2) / ln(2))) AS js FROM p x JOIN p y ON y.k = x.k AND y.rid = concat(split_part(x.rid, '|', 1), '|base') GROUP BY x.rid), "
+    + "ob AS (SELECT perturbation, family, w.rid IS NOT NULL AS e, w.label = a.label AS la, w.accepted = a.accepted AS ac, a.accepted AS was, js, abs(a.confidence - w.confidence) AS dc FROM ov JOIN t a ON a.rid = ov.b LEFT JOIN t w ON w.rid = ov.v LEFT JOIN js ON js.v = ov.v) "
+)
+_RATES = ["label_agreement", "acceptance_agreement", "decision_agreement", "mean_normalized_js_divergence", "maximum_normalized_js_divergence", "mean_absolute_confidence_delta", "maximum_absolute_confidence_delta"]
+
+
+def _audit_sql(by: str) -> str:
+    n = "greatest(count(*) FILTER (e), 1)"
+    return (
+        f"{_AUDIT}SELECT {by}, count(*) FILTER (e)::BIGINT AS evaluated_variants, count(*) FILTER (NOT e)::BIGINT AS skipped_applications, round(count(*) FILTER (la) / {n}, 6) AS label_agreement, round(count(*) FILTER (ac) / {n}, 6) AS acceptance_agreement, "
+        f"round(count(*) FILTER (ac AND (la OR NOT was)) / {n}, 6) AS decision_agreement, count(*) FILTER (NOT la)::BIGINT AS label_flips, count(*) FILTER (NOT ac)::BIGINT AS acceptance_flips, count(*) FILTER (NOT ac AND was)::BIGINT AS accepted_to_abstained, count(*) FILTER (NOT ac AND NOT was)::BIGINT AS abstained_to_accepted, "
+        f"round(coalesce(sum(js) FILTER (e), 0) / {n}, 6) AS mean_normalized_js_divergence, round(coalesce(max(js) FILTER (e), 0), 6) AS maximum_normalized_js_divergence, round(coalesce(sum(dc), 0) / {n}, 6) AS mean_absolute_confidence_delta, round(coalesce(max(dc), 0), 6) AS maximum_absolute_confidence_delta FROM ob GROUP BY {by}"
+    )
+
+
+@query(_audit_sql("perturbation, family"))
 def robustness_by_perturbation(s, d):
-    return robustness.report(_raw(s, d), ["perturbation", "family"])
+    return rounded(robustness.report(_raw(s, d), ["perturbation", "family"]), *_RATES)
 
 
-@query()
+@query(_audit_sql("family"))
 def robustness_by_family(s, d):
-    return robustness.report(robustness.merged(_raw(s, d), ["family"]), ["family"])
+    return rounded(robustness.report(robustness.merged(_raw(s, d), ["family"]), ["family"]), *_RATES)
 
 
 @query("SELECT 'formatting' AS family, 'evaluated_variants' AS measure WHERE false")
@@ -309,7 +328,7 @@ def scan_sql(name: str, columns: list[str], v3: bool, ids: list[str], closed: di
     idp, lp = ("[A-Za-z0-9_-]{1,128}", "[a-z-]{1,64}") if v3 else ("[A-Za-z0-9_-]+", "[a-z0-9-]+")
     tr = lambda c: f"regexp_replace(regexp_replace({c}, '^{_ws()}', ''), '{_ws()}$', '')"
     checks = "".join(f" WHEN NOT regexp_full_match({c}, '{idp}') THEN '{c}'" for c in ids) + "".join(f" WHEN {c} NOT IN ({v}) THEN '{c}'" for c, v in closed.items()) + (f" WHEN NOT regexp_full_match(label, '{lp}') THEN 'label'" if label else "") + " WHEN text = '' OR length(text) > 512 THEN 'text'"
-    identity = f"array_to_string({tokens_sql('text')}, ' ')" if v3 else norm_sql("text")
+    identity = f"array_to_string({tokens_sql(nfkc_sql('text'))}, ' ')" if v3 else norm_sql("text")
     typed = ", ".join(f"{tr(f's[{i + 1}]')} AS {c}" for i, c in enumerate(columns))
     source = {"variant": "variant_ab"}
     return f"WITH l AS (SELECT row_no + 1 AS line_no, concat_ws(chr(9), {', '.join(source.get(c, c) for c in columns)}) AS line FROM {name}), s AS (SELECT line_no, string_split(line, chr(9)) AS s FROM l WHERE NOT regexp_full_match(line, '({_ws()})?') AND NOT regexp_matches(line, '^({_ws()})?#')), t AS (SELECT line_no, {typed}, NULL AS w FROM s WHERE len(s) = {len(columns)}), j AS (SELECT *, CASE WHEN false THEN '' {checks} END AS reason, {identity} AS identity FROM t), k AS (SELECT *, min(line_no) FILTER (reason IS NULL) OVER (PARTITION BY id) AS fi, min(line_no) FILTER (reason IS NULL) OVER (PARTITION BY CASE WHEN reason IS NULL THEN identity ELSE concat(chr(1), line_no) END) AS ft FROM j) SELECT line_no, coalesce(reason, CASE WHEN line_no > fi THEN 'duplicate-id' WHEN line_no > ft THEN 'duplicate-text' END) AS reason FROM k UNION ALL SELECT line_no, 'columns' FROM s WHERE len(s) <> {len(columns)}"
@@ -321,18 +340,17 @@ def _ws() -> str:
     return WS
 
 
-def _scan(name: str, tbl: str, corpus: tsv.Corpus, rename: dict[str, str] | None = None, oracle: bool = True) -> None:
+def _scan(name: str, tbl: str, corpus: tsv.Corpus, rename: dict[str, str] | None = None) -> None:
     columns = [(rename or {}).get(c, c) for c in corpus.columns]
     QUERIES[name] = lambda s, d: tsv.parse(_lines(s, d, tbl, columns, "\t".join(corpus.columns)), corpus).select("line_no", "reason")
-    if oracle:
-        closed = {c: ", ".join(f"'{v}'" for v in values) for c, values in corpus.closed}
-        ORACLE[name] = scan_sql(tbl, list(corpus.columns), corpus.profile == "v3", list(corpus.ids), closed, "label" in corpus.columns)
+    closed = {c: ", ".join(f"'{v}'" for v in values) for c, values in corpus.closed}
+    ORACLE[name] = scan_sql(tbl, list(corpus.columns), corpus.profile == "v3", list(corpus.ids), closed, "label" in corpus.columns)
 
 
 _scan("scan_labeled_tsv", "intents_v1", tsv.LABELED)
 _scan("scan_ood_tsv", "ood_test_v3", tsv.OOD)
-_scan("scan_grouped_tsv", "grouped_examples", tsv.GROUPED, oracle=False)  # NFKC identities: not for SQL
-_scan("scan_openset_ood", "ood_test_v3", tsv.OPENSET_OOD, oracle=False)
+_scan("scan_grouped_tsv", "grouped_examples", tsv.GROUPED)
+_scan("scan_openset_ood", "ood_test_v3", tsv.OPENSET_OOD)
 _scan("scan_contrast", "contrast_test_v3", tsv.CONTRAST, {"variant": "variant_ab"})
 
 # JSON lines from prompts, some of them damaged by number.
