@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.inputs import nfkc_sql, tokens_sql
 from . import distinctive, frequencies, lookalikes, mixing, overlaps, packing, sentences, splits
 
 MODULES = (lookalikes, frequencies, splits, distinctive, overlaps, packing, mixing, sentences)
 
+# Look-alike forms for the characters of the test tables: letters by the same table, width forms, spaces; invisible ones have no counterpart and go.
+_LIKE = [(c, latin) for latin, like in lookalikes.LOOKALIKES.items() for c in like]
+_SEEN = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F) if c != 0x27) + "\u00a0\u2002\u2007\u2009\u202f\u205f\u3000" + "".join(c for c, _ in _LIKE)
+_AS = "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27) + " " * 7 + "".join(x for _, x in _LIKE)
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+FORM = f"trim(nfc_normalize(replace(replace(translate(text, '{_SEEN}{_UNSEEN}', '{_AS}'), '\uff07', \'\'\'\'), '\ufb01', 'fi')), ' ')"
+FORMS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_no, text, {FORM} AS form FROM {t} WHERE text IS NOT NULL" for t in ("intents_v1", "ood_test_v3"))
+V3_WORDS = f"list_distinct({tokens_sql(nfkc_sql('text'))})"
+OVERLAPS = f"WITH s AS (SELECT row_no, split_name, group_id, {V3_WORDS} AS w FROM grouped_examples WHERE text IS NOT NULL AND split_name IS NOT NULL), u AS (SELECT row_no, split_name = 'train' AS tr, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT a.row_no AS a, b.row_no AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.w = b.w AND a.tr AND NOT b.tr GROUP BY ALL), f AS (SELECT a, b FROM c WHERE k * 10 >= 7 * (na + nb - k))"
+GRAMS = f"WITH t AS (SELECT row_no, {tokens_sql('text')} AS t FROM intents_v1 WHERE text IS NOT NULL), g AS (" + " UNION ALL ".join(f"SELECT row_no, {n} AS n, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS ngram FROM t" for n in (1, 2, 3)) + ")"
+
 WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+'), lambda w: trim(w, '''')), lambda w: w <> '')"
 TOKENS = "coalesce(n_tokens, octet_length(encode(text)) + 1)"
 SEVEN = "('greeting', 'feeling', 'reason', 'ownership', 'question', 'goal', 'observation')"
@@ -23,7 +35,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     counts = f"WITH w AS (SELECT row_no, unnest({WORDS}) AS term FROM intents_v1 WHERE text IS NOT NULL), c AS (SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT row_no)::BIGINT AS records FROM w GROUP BY term), m AS (SELECT *, CASE WHEN records = 1 THEN 'rare' WHEN records > 0.05::DOUBLE * (SELECT count(text) FROM intents_v1) THEN 'common' END AS mark FROM c)"
     per_row = f"WITH w AS (SELECT row_no, label, unnest({WORDS}) AS term FROM intents_v1 WHERE text IS NOT NULL), c AS (SELECT row_no, label, term, count(*) AS n FROM w GROUP BY ALL), d AS (SELECT term, count(*) AS d FROM c GROUP BY term), t AS (SELECT count(text)::DOUBLE AS total FROM intents_v1)"
+    tfn = "n * log2(1 + {average} / {length})"
+    score = "(log2(1 + {rate}) + {tfn} * log2((1 + {rate}) / {rate})) / ({tfn} + 1)"
+    of_record = score.format(rate="(f / total)", tfn="(" + tfn.format(average="(words / total)", length="l") + ")")
+    of_label = score.format(rate="(f / 7)", tfn="(" + tfn.format(average="avg_l", length="l") + ")")
     return {
+        "p1_found": f"WITH f AS ({FORMS}) SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.row_no < b.row_no AND a.text <> b.text",
+        "p1_forms": f"SELECT table_name, row_no, form FROM ({FORMS})",
+        "p2_ngrams": f"{GRAMS} SELECT n, ngram, count(*)::BIGINT AS occurrences, count(DISTINCT row_no)::BIGINT AS records FROM g GROUP BY ALL HAVING count(DISTINCT row_no) >= 2",
+        "p4_record_scores": f"{per_row}, l AS (SELECT row_no, sum(n) AS l FROM c GROUP BY row_no), ff AS (SELECT term, sum(n) AS f FROM c GROUP BY term), ww AS (SELECT sum(n) AS words FROM c) SELECT row_no, term, n::BIGINT AS n, d::BIGINT AS d, round({of_record}, 6) AS score FROM c JOIN d USING (term) JOIN l USING (row_no) JOIN ff USING (term), t, ww",
+        "p4_label_scores": f"{per_row}, k AS (SELECT label, term, count(*)::BIGINT AS dl, sum(n) AS n FROM c WHERE label IN {SEVEN} GROUP BY ALL), l AS (SELECT label, sum(n) AS l FROM k GROUP BY label), av AS (SELECT avg(l) AS avg_l FROM l), a AS (SELECT term, sum(dl)::BIGINT AS d_all, sum(n) AS f FROM k GROUP BY term) SELECT label, term, n::BIGINT AS n, dl AS d_label, d_all, round({of_label}, 6) AS score FROM k JOIN l USING (label) JOIN a USING (term), av",
+        "p6_found": f"{OVERLAPS} SELECT least(a, b) AS row_a, greatest(a, b) AS row_b FROM f",
+        "p6_report": f"{OVERLAPS} SELECT split_name, lower(trim(group_id, ' ')) AS group_id, count(DISTINCT row_no)::BIGINT AS n_rows, count(*)::BIGINT AS links FROM f JOIN s ON s.row_no = f.b GROUP BY ALL",
         "p2_found": f"{counts} SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_counts": f"{counts} SELECT term, occurrences, records, mark FROM m",
         "p3_found": f"SELECT table_name, entity_key FROM ({KEYED}) WHERE entity_key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split_name) > 1",
