@@ -60,10 +60,6 @@ def normalize_nfkc(c: Column | str) -> Column:
     return normalize(nfkc(c))
 
 
-def profile_normalize(c: Column | str, profile: str) -> Column:
-    return {"v1": normalize, "v3": normalize_nfkc}[profile](c)
-
-
 def words(normal: Column | str) -> Column:
     """Words of a normalised text. Apostrophes inside a word stay, those at its ends go."""
     trimmed = F.transform(F.split(col(normal), WORD_BREAK, -1), lambda w: F.btrim(w, F.lit("'")))
@@ -71,7 +67,9 @@ def words(normal: Column | str) -> Column:
 
 
 def tokens(c: Column | str, profile: str = "v1") -> Column:
-    return words(profile_normalize(c, profile))
+    """Words of a text. White space is left as it is, since it separates words in any amount."""
+    plain = {"v1": col, "v3": nfkc}[profile](c)
+    return words(F.translate(lower_by_char(plain), "’‘", "''"))
 
 
 def feature_identity(toks: Column | str) -> Column:
