@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -38,11 +38,15 @@ WIDTH = math.log(1.1)  # partners' lengths are matched in geometric steps
 SPAN = 5
 
 
+def distinct_words(text: str, profile: str) -> Column:
+    return F.array_sort(F.array_distinct(tokens(text, profile)))
+
+
 def word_sets(rows: DataFrame, row: str, text: str, split: str, train: str, profile: str) -> DataFrame:
-    """``row``, ``tr`` (in the training split), ``words`` (distinct, sorted), ``set_key``."""
+    """``row``, ``tr`` (in the training split), ``ids`` (hashes of the distinct words, by word), ``set_key``."""
     known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull())
-    sets = known.select(F.col(row).alias("row"), (F.col(split) == train).alias("tr"), F.array_sort(F.array_distinct(tokens(text, profile))).alias("words"))
-    return sets.where(F.size("words") > 0).withColumn("set_key", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+    sets = known.select(F.col(row).alias("row"), (F.col(split) == train).alias("tr"), distinct_words(text, profile).alias("words")).where(F.size("words") > 0)
+    return sets.select("row", "tr", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("set_key"))
 
 
 def _least_shared(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
@@ -50,18 +54,19 @@ def _least_shared(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * (n + m) / (1 + t) - 1e-6).astype(np.int64)
 
 
-def near_pairs(sets: DataFrame, tenths: int) -> DataFrame:
-    """Pairs of different word sets, one in training and one outside, as ``key_a`` (training), ``key_b``.
+def near_pairs(sets: DataFrame, words: DataFrame, tenths: int, profile: str) -> DataFrame:
+    """Pairs of word sets, one in training and one outside, as ``key_a`` (training), ``key_b``; a set in both is a pair.
 
-    ``tenths``: the least similarity in tenths, so that the final check is in whole numbers.
+    The search works on hashes of words, which can only add candidates: equal words have equal hashes, and the order of a
+    record's words is by count, hash and word. The final check is made on the words themselves, fetched for the candidates
+    from ``words`` (row, text). ``tenths``: the least similarity in tenths, so that this check is in whole numbers.
     """
     t = tenths / 10
-    classes = sets.groupBy("set_key").agg(F.min("row").alias("rep"), F.first("words").alias("words"), F.max("tr").alias("tr"), F.max(~F.col("tr")).alias("ev"))
+    classes = sets.groupBy("set_key").agg(F.min("row").alias("rep"), F.first("ids").alias("ids"), F.max("tr").alias("tr"), F.max(~F.col("tr")).alias("ev"))
     classes = cut(classes)
     mask = (1 << SKETCH_BITS) - 1
-    ids = F.transform("words", lambda w: F.xxhash64(w))
     sketch = (
-        classes.select(F.explode(ids).alias("id"), F.col("tr").cast("int").alias("tr"), F.col("ev").cast("int").alias("ev"))
+        classes.select(F.explode("ids").alias("id"), F.col("tr").cast("int").alias("tr"), F.col("ev").cast("int").alias("ev"))
         .groupBy(F.col("id").bitwiseAND(F.lit(mask)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("tr").alias("tr"), F.max("ev").alias("ev"))
     )
     counts, in_train, in_eval = np.zeros(mask + 1, np.int64), np.zeros(mask + 1, bool), np.zeros(mask + 1, bool)
@@ -109,16 +114,18 @@ def near_pairs(sets: DataFrame, tenths: int) -> DataFrame:
             reps = batch.column("rep").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip((flat, step, reps[rec], size, place, s1[rec].view(np.int64), s2[rec].view(np.int64)), fields)], [f for f, _ in fields])
 
-    source = classes.select("rep", ids.alias("ids"), "tr", "ev")
+    source = classes.select("rep", "ids", "tr", "ev")
     probe = source.where("ev").select("rep", "ids").mapInArrow(lambda b: ordered(b, True), ddl).toDF("id", "step", "rep_b", "nb", "at_b", "b1", "b2")
     index = source.where("tr").select("rep", "ids").mapInArrow(lambda b: ordered(b, False), ddl).toDF("id", "step", "rep_a", "na", "at_a", "a1", "a2")
     least = f"ceil({tenths}D * (na + nb) / {10 + tenths}D - 1e-6D)"
     met = probe.join(index, ["id", "step"]).where(
         f"rep_a <> rep_b AND at_a <= na - {least} AND at_b <= nb - {least} AND bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= na + nb - 2 * {least}"
     )
-    pairs = met.select("rep_a", "rep_b").distinct()
-    a = classes.select(F.col("rep").alias("rep_a"), F.col("set_key").alias("key_a"), F.col("words").alias("wa"))
-    b = classes.select(F.col("rep").alias("rep_b"), F.col("set_key").alias("key_b"), F.col("words").alias("wb"))
+    pairs = cut(met.select("rep_a", "rep_b").distinct())
+    reps = pairs.select(F.col("rep_a").alias("row")).unionByName(pairs.select(F.col("rep_b").alias("row"))).distinct()
+    spoken = words.join(reps, "row", "left_semi").select("row", distinct_words("text", profile).alias("w"))
+    keyed = cut(spoken.join(classes.select(F.col("rep").alias("row"), "set_key"), "row"))
+    a, b = keyed.toDF("rep_a", "wa", "key_a"), keyed.toDF("rep_b", "wb", "key_b")
     shared = F.size(F.array_intersect("wa", "wb"))
     exact = pairs.join(a, "rep_a").join(b, "rep_b").where(shared * 10 >= F.lit(tenths) * (F.size("wa") + F.size("wb") - shared))
     same = classes.where("tr AND ev").select(F.col("set_key").alias("key_a"), F.col("set_key").alias("key_b"))
@@ -128,7 +135,7 @@ def near_pairs(sets: DataFrame, tenths: int) -> DataFrame:
 def split_overlaps(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", tenths: int = 7, profile: str = "v3") -> DataFrame:
     """``train_row``, ``other_row``: all pairs whose sets of distinct words have shared / total >= tenths / 10."""
     sets = cut(word_sets(rows, row, text, split, train, profile))
-    pairs = cut(near_pairs(sets, tenths))
+    pairs = cut(near_pairs(sets, rows.select(F.col(row).alias("row"), F.col(text).alias("text")), tenths, profile))
     left = sets.where("tr").select(F.col("set_key").alias("key_a"), F.col("row").alias("train_row"))
     right = sets.where("NOT tr").select(F.col("set_key").alias("key_b"), F.col("row").alias("other_row"))
     return pairs.join(left, "key_a").join(right, "key_b").select("train_row", "other_row")
