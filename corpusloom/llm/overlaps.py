@@ -34,7 +34,7 @@ from ..operators.layout import spread
 from .suffixes import crossing_suffixes, plain_suffixes
 
 SKETCH_BITS = 18  # buckets of the word counts that order the words: a fixed size, whatever the input
-WIDTH = math.log(1.1)  # partners' lengths are matched in geometric steps
+WIDTH = math.log(1.25)  # partners' lengths are matched in geometric steps
 SPAN = 5
 
 
