@@ -133,7 +133,8 @@ def train_candidates(rows: DataFrame, candidates: Sequence[tuple[V.Vectorizer, T
     terms = vocab.orderBy("position").collect()  # at most max_features rows
     chosen = known.orderBy(F.xxhash64("r"), "r").limit(most) if known.count() > most else known
     weighted = V.weights(V.term_counts(chosen, "r", "t", profile, largest), vocab, "r").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("f"))
-    data = chosen.select("r", "y").join(weighted, "r", "left")
+    # Two arrays a row arrive as numbers, where an array of structs would arrive as objects.
+    data = chosen.select("r", "y").join(weighted, "r", "left").select("r", "y", *[F.coalesce(F.col(f"f.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("position", "int"), ("value", "double"))])
     spark = rows.sparkSession
     plan = [(i, v.max_features, c.epochs, c.learning_rate, c.l2) for i, (v, c) in enumerate(candidates)]
     jobs = spark.createDataFrame(plan, "candidate int, max_features int, epochs int, learning_rate double, l2 double")
@@ -142,12 +143,12 @@ def train_candidates(rows: DataFrame, candidates: Sequence[tuple[V.Vectorizer, T
         first = pdf.iloc[0]
         pdf = pdf.sort_values("r", kind="stable").reset_index(drop=True)
         n_features = min(int(first["max_features"]), len(terms))
-        lists = [[(p["position"], p["value"]) for p in f if p["position"] < n_features] if f is not None else [] for f in pdf["f"]]
-        size = [len(x) for x in lists]
-        r = np.repeat(np.arange(len(lists)), size)
-        position = np.array([p for x in lists for p, _ in x], np.int64)
-        value = np.array([v for x in lists for _, v in x], float)
-        norm = np.sqrt(np.bincount(r, weights=value * value, minlength=len(lists)))
+        r = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["position"]])
+        position = np.concatenate([np.zeros(0, np.int64), *pdf["position"]]).astype(np.int64)
+        value = np.concatenate([np.zeros(0), *pdf["value"]])
+        kept = position < n_features
+        r, position, value = r[kept], position[kept], value[kept]
+        norm = np.sqrt(np.bincount(r, weights=value * value, minlength=len(pdf)))
         value = value / norm[r] if len(value) else value
         target = np.searchsorted(labels, pdf["y"].to_numpy(str)) if len(pdf) else np.zeros(0, int)
         config = Training(int(first["epochs"]), float(first["learning_rate"]), float(first["l2"]))

@@ -246,7 +246,7 @@ def run_experiment(s, d):
     test = test.join(dev.select("identity").distinct(), "identity", "left_anti")
     g = g.join(dev.select("identity").unionByName(test.select("identity")).distinct(), "identity", "left_anti")
     c = c.join(g.select("identity").unionByName(dev.select("identity")).unionByName(test.select("identity")).distinct(), "identity", "left_anti")
-    _, report = experiment.run(*[x.drop("identity") for x in (g, dev, test, c)], SEED, 100, model.Training(epochs=150, learning_rate=8.0, max_rows=4000), (1024, 2048), (0.0005,))
+    _, report = experiment.run(*[x.drop("identity") for x in (g, dev, test, c)], SEED)
     rows = [(f"{a}.{b}", float(v)) for a in ("inside", "outside", "quality", "contrast", "naive_bayes") for b, v in report[a].items() if v is not None]
     return s.createDataFrame([*rows, ("temperature", float(report["temperature"]))], "metric string, value double")
 
