@@ -3,7 +3,7 @@
 import inspect
 
 import pytest
-from corpusloom.operators import experiment
+from corpusloom.operators import bootstrap, experiment
 from corpusloom.operators.model import Training
 from corpusloom.plans import model_queries
 
@@ -25,3 +25,10 @@ def test_experiment_runs_with_its_own_defaults(spark, monkeypatch):
         model_queries.run_experiment(spark, FOLDER)
     assert seen["config"] == Training() and seen["config"].max_rows == 100_000 and seen["config"].epochs == 600
     assert seen["features"] == (512, 1024, 2048) and len(seen["penalties"]) == 3
+
+
+def test_bootstrap_has_no_bound_on_draws(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "MAX_SAMPLED", 10, raising=False)
+    clusters = spark.range(7).selectExpr("concat('0|', id % 2) AS stratum", "concat('f', id) AS cluster")
+    got = bootstrap.weights(clusters, 100, 5).groupBy("stratum").agg({"times": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == {"0|0": 400, "0|1": 300}
