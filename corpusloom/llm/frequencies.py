@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.layout import spread
-from .suffixes import prefix_intervals, sort_suffixes, suffixes
+from .suffixes import all_intervals, prefix_intervals, sort_suffixes, suffixes, whole_suffixes
 
 DEPTH = 3
 COMMON_SHARE = 0.05
@@ -22,6 +22,11 @@ def ngram_counts(rows: DataFrame, record: str, text: str = "text", profile: str
     return prefix_intervals(sort_suffixes(suffixes(rows.where(F.col(text).isNotNull()), record, tokens(text, profile), depth), depth), depth)
 
 
+def repeated_ngrams(rows: DataFrame, record: str, text: str = "text", profile: str = "v1") -> DataFrame:
+    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length in two records or more."""
+    return all_intervals(whole_suffixes(rows.where(F.col(text).isNotNull()), record, tokens(text, profile)))
+
+
 def marked_counts(rows: DataFrame, record: str, text: str = "text", profile: str = "v1", depth: int = DEPTH, common_share: float = COMMON_SHARE) -> DataFrame:
     """n-gram counts with ``mark``: ``rare`` in exactly one record, ``common`` in more than ``common_share`` of those with text."""
     total = rows.agg(F.count(text).alias("total"))
@@ -44,5 +49,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Word n-grams of all lengths found in at least two prompts."""
+    """Word n-grams of up to three words found in at least two prompts, as its SQL has them; ``p2_all_ngrams`` has all lengths."""
     return ngram_counts(_intents(spark, d), "row_no").where("records >= 2").select("n", F.array_join("words", " ").alias("ngram"), "occurrences", "records")
+
+
+def p2_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Word n-grams of all lengths found in at least two prompts."""
+    return repeated_ngrams(_intents(spark, d), "row_no")

@@ -142,3 +142,92 @@ def prefix_intervals(ordered: DataFrame, depth: int) -> DataFrame:
 
     parts = ordered.select(*names, "dup").mapInArrow(scan, "n int, words array<string>, occurrences bigint, records bigint")
     return parts.groupBy("n", "words").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
+def whole_suffixes(rows: DataFrame, record: str, toks: Column) -> DataFrame:
+    """One row per word position: ``record``, ``s``, the words to the record's end joined by blanks, and ``dup`` as above.
+
+    A blank sorts before every character of a word, so the suffixes that begin with an n-gram stay together.
+    """
+    kind = rows.schema[record].dataType.simpleString()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            record_at, texts, dups = [], [], []
+            for i, words in enumerate(batch.column("toks").to_pylist()):
+                last = None
+                for s in sorted(words[k:] for k in range(len(words))):
+                    record_at.append(i)
+                    texts.append(" ".join(s))
+                    dups.append(_common(last, s) if last else 0)
+                    last = s
+            yield pa.RecordBatch.from_arrays([batch.column("record").take(pa.array(record_at, pa.int64())), pa.array(texts, pa.string()), pa.array(dups, pa.int32())], ["record", "s", "dup"])
+
+    return rows.select(F.col(record).alias("record"), toks.alias("toks")).where(F.size("toks") > 0).mapInArrow(cut_up, f"record {kind}, s string, dup int")
+
+
+def _common(a: list[str], b: list[str]) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def all_intervals(suf: DataFrame) -> DataFrame:
+    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length found in two records or more.
+
+    Suffixes are sorted over all partitions; a scan keeps the n-grams that the last suffix shares with those before it open
+    and gives each when it ends. One that a partition's edge may cut comes out in parts, which are added up.
+    """
+    ordered = suf.repartitionByRange("s", "record").sortWithinPartitions("s", "record").select("s", "dup")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[str] = []
+        last_dup, edge = 0, 0  # edge: how many words of the partition's first suffix are still shared
+        occurrences: list[int] = []
+        records: list[int] = []
+        out: list[tuple[int, str, int, int]] = []
+
+        def close(down_to: int) -> None:
+            for d in range(len(occurrences), down_to, -1):
+                o, r = occurrences.pop(), records.pop()
+                if r > 1 or d <= edge:
+                    out.append((d, " ".join(last[:d]), o, r))
+
+        def open_to(up_to: int) -> None:
+            for d in range(len(occurrences) + 1, up_to + 1):
+                occurrences.append(1)
+                records.append(int(last_dup < d))
+
+        def batch_of() -> pa.RecordBatch:
+            n, ngram, o, r = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(ngram, pa.string()), pa.array(o, pa.int64()), pa.array(r, pa.int64())], ["n", "ngram", "occurrences", "records"])
+
+        for batch in batches:
+            for s, dup in zip(batch.column("s").to_pylist(), batch.column("dup").to_pylist()):
+                words = s.split(" ")
+                if last:
+                    shared = _common(last, words)
+                    open_to(shared)
+                    close(shared)
+                    edge = min(edge, shared)
+                    for d in range(shared):
+                        occurrences[d] += 1
+                        records[d] += dup <= d
+                    last, last_dup = words, dup
+                else:
+                    last, last_dup, edge = words, dup, len(words)
+                    open_to(edge)
+            if out:
+                yield batch_of()
+        open_to(len(last))
+        edge = len(last)
+        close(0)
+        if out:
+            yield batch_of()
+
+    parts = ordered.mapInArrow(scan, "n int, ngram string, occurrences bigint, records bigint")
+    return parts.groupBy("n", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records >= 2")

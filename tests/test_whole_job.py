@@ -1,8 +1,10 @@
 """Registered queries do the whole job: no cut rows, epochs, lengths, clusters or corpora."""
 
 import inspect
+from collections import Counter
 
 import pytest
+from corpusloom.llm.frequencies import p2_all_ngrams, p2_ngrams, repeated_ngrams
 from corpusloom.operators import bootstrap, experiment
 from corpusloom.operators.model import Training
 from corpusloom.plans import model_queries
@@ -32,3 +34,24 @@ def test_bootstrap_has_no_bound_on_draws(spark, monkeypatch):
     clusters = spark.range(7).selectExpr("concat('0|', id % 2) AS stratum", "concat('f', id) AS cluster")
     got = bootstrap.weights(clusters, 100, 5).groupBy("stratum").agg({"times": "sum"}).collect()
     assert {r[0]: r[1] for r in got} == {"0|0": 400, "0|1": 300}
+
+
+def test_ngrams_of_every_length(spark):
+    base = "a b c d e f g h a b c d e".split()
+    texts = [" ".join(base[i % 5 : 5 + i % 9]) + " it's x" * (i % 3) for i in range(60)] + [None, "", "?!", "a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    occurrences, records = Counter(), Counter()
+    for t in texts:
+        w = [x for x in (t or "").split() if x != "?!"]
+        grams = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        occurrences.update(grams)
+        records.update(set(grams))
+    want = {(len(g.split()), g, occurrences[g], n) for g, n in records.items() if n >= 2}
+    got = [tuple(r) for r in repeated_ngrams(df.repartition(5), "k").collect()]
+    assert len(got) == len(want) and set(got) == want and max(n for n, *_ in want) > 8
+
+
+def test_all_ngrams_agree_with_the_short_ones(spark):
+    whole = p2_all_ngrams(spark, FOLDER).cache()
+    assert sorted(map(tuple, whole.where("n <= 3").collect())) == sorted(map(tuple, p2_ngrams(spark, FOLDER).collect()))
+    assert whole.where("n > 3").count() > 0
