@@ -141,15 +141,12 @@ def model_route_v3(s, d):
     return router.model_route(p, label="predicted").select("event_id", "rule_id", "keyword", "reply")
 
 
-# Training: on all labelled prompts with few epochs, tested against hand-written descent.
-QUICK = model.Training(epochs=20)
-SMALL = Vectorizer(max_features=256, min_df=2)
-
+# Training: on all labelled prompts, with the operators' default training, vectorizer and grid.
 
 @query()
 def train_softmax(s, d):
     """Weights of a model trained on all labelled prompts."""
-    m = model.train(labelled(s, d), QUICK, SMALL)
+    m = model.train(labelled(s, d))
     return s.createDataFrame([(label, term, float(w)) for label, row in zip(m.labels, m.weights) for term, w in zip(m.vocabulary, row)], "label string, term string, weight double")
 
 
@@ -162,7 +159,7 @@ def _split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def evaluate_v1(s, d):
     """A model trained on the training part, measured on both parts."""
     train, holdout = _split(s, d)
-    m = model.train(train, QUICK, SMALL)
+    m = model.train(train)
     out = None
     for name, rows in (("train", train), ("holdout", holdout)):
         p = model.score(rows, m).withColumn("actual", F.col("label"))
@@ -175,21 +172,21 @@ def evaluate_v1(s, d):
 def select_candidate(s, d):
     """Candidates trained side by side and the one chosen."""
     train, holdout = _split(s, d)
-    _, seen, chosen = experiment.select_model(experiment.TrainingRows(train), experiment.DevelopmentRows(holdout), (64, 256), (0.0005, 0.002), QUICK)
+    _, seen, chosen = experiment.select_model(experiment.TrainingRows(train), experiment.DevelopmentRows(holdout))
     return s.createDataFrame([(c.max_features, c.l2, c.macro_f1, i == chosen) for i, c in enumerate(seen)], "max_features int, l2 double, macro_f1 double, chosen boolean")
 
 
 @query()
 def calibrate_temperature(s, d):
     train, holdout = _split(s, d)
-    return calibrate.calibrate_temperature(holdout, model.train(train, QUICK, SMALL))
+    return calibrate.calibrate_temperature(holdout, model.train(train))
 
 
 @query()
 def evaluate_id(s, d):
     """Confidence-aware measures of the holdout part."""
     train, holdout = _split(s, d)
-    p = experiment.evaluated(holdout, model.train(train, QUICK, SMALL))
+    p = experiment.evaluated(holdout, model.train(train))
     return s.createDataFrame([(k, float(v)) for k, v in sorted(experiment.summary(p).items()) if v is not None], "metric string, value double")
 
 

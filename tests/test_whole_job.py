@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 from corpusloom.llm.frequencies import p2_all_ngrams, p2_ngrams, repeated_ngrams
-from corpusloom.operators import bootstrap, experiment
+from corpusloom.operators import bootstrap, experiment, model
+from corpusloom.operators.features import Vectorizer
 from corpusloom.operators.model import Training
 from corpusloom.plans import model_queries
 
@@ -55,3 +56,27 @@ def test_all_ngrams_agree_with_the_short_ones(spark):
     whole = p2_all_ngrams(spark, FOLDER).cache()
     assert sorted(map(tuple, whole.where("n <= 3").collect())) == sorted(map(tuple, p2_ngrams(spark, FOLDER).collect()))
     assert whole.where("n > 3").count() > 0
+
+
+@pytest.mark.parametrize("name", ["train_softmax", "evaluate_v1", "evaluate_id", "calibrate_temperature", "select_candidate"])
+def test_training_queries_use_the_defaults(spark, monkeypatch, name):
+    seen = {}
+
+    def captured(f):
+        signature = inspect.signature(f)
+
+        def call(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            raise StopIteration
+
+        return call
+
+    monkeypatch.setattr(model, "train", captured(model.train))
+    monkeypatch.setattr(experiment, "select_model", captured(experiment.select_model))
+    with pytest.raises(StopIteration):
+        model_queries.QUERIES[name](spark, FOLDER)
+    assert seen["config"] == Training()
+    assert seen.get("vectorizer", Vectorizer()) == Vectorizer()
+    assert seen.get("features", (512, 1024, 2048)) == (512, 1024, 2048) and seen.get("penalties", (0.0001, 0.0005, 0.002)) == (0.0001, 0.0005, 0.002)
