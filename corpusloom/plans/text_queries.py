@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
+from ..operators import digests
 from ..operators import router as R
 from .inputs import PROMPTS, UTTERANCES, nfkc_sql, norm_sql, prompts, table, tokens_sql, utterances
 
@@ -91,7 +92,7 @@ ORACLE["group_split_hash"] = f"SELECT label, group_id, {fnv_sql('concat(label, c
 def dataset_fingerprint_v1(s: SparkSession, d: str) -> DataFrame:
     """The fingerprint of each contrast pair taken as a corpus of its own."""
     rows = table(s, d, "contrast_test_v3").where("pair_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
-    return rows.groupBy("pair_id").agg(H.dataset_fingerprint(F.concat_ws("\t", "id", "label", T.normalize("text"))).alias("fingerprint"))
+    return digests.grouped_digests(rows, "pair_id", F.concat_ws("\t", "id", "label", T.normalize("text")), digests.fnv1a64, "fingerprint")
 
 
 QUERIES["dataset_fingerprint_v1"] = dataset_fingerprint_v1
@@ -102,12 +103,24 @@ def dataset_sha256(s: SparkSession, d: str) -> DataFrame:
     """The digest of each family's rows taken as a corpus of its own."""
     rows = table(s, d, "ood_test_v3").where("family_id IS NOT NULL AND text IS NOT NULL")
     line = F.concat_ws("\t", "id", "family_id", F.coalesce("domain_group", F.lit("")), F.coalesce("stratum", F.lit("")), T.feature_identity(T.tokens("text")))
-    return rows.groupBy("family_id").agg(H.dataset_sha256(line).alias("digest"))
+    return digests.grouped_digests(rows, "family_id", line, digests.sha256, "digest")
 
 
 QUERIES["dataset_sha256"] = dataset_sha256
 ORACLE["dataset_sha256"] = f"WITH r AS (SELECT family_id, concat(id, chr(9), family_id, chr(9), coalesce(domain_group, ''), chr(9), coalesce(stratum, ''), chr(9), array_to_string({TOK}, ' ')) AS x FROM ood_test_v3 WHERE family_id IS NOT NULL AND text IS NOT NULL) SELECT family_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest FROM r GROUP BY family_id"
 
+def corpus_digests(s: SparkSession, d: str) -> DataFrame:
+    """The digests of the two corpora as a whole, with the lines of ``dataset_fingerprint_v1`` and ``dataset_sha256``; no row is left out."""
+    blank = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    contrast, ood = table(s, d, "contrast_test_v3"), table(s, d, "ood_test_v3")
+    fnv_line = F.concat_ws("\t", blank("id"), blank("label"), blank(T.normalize("text")))
+    sha_line = F.concat_ws("\t", blank("id"), blank("family_id"), blank("domain_group"), blank("stratum"), blank(T.feature_identity(T.tokens("text"))))
+    found = [("contrast_test_v3", digests.corpus_digest(contrast, fnv_line, digests.fnv1a64)), ("ood_test_v3", digests.corpus_digest(ood, sha_line, digests.sha256))]
+    return s.createDataFrame(found, "corpus string, digest string")
+
+
+QUERIES["corpus_digests"] = corpus_digests
+
 QUERIES["splitmix_index"] = lambda s, d: table(s, d, "orders").select("o_orderkey", H.splitmix_index(F.col("o_orderkey"), F.lit(97), SEED).alias("draw"))
 
 

@@ -1,14 +1,17 @@
 """Registered queries do the whole job: no cut rows, epochs, lengths, clusters or corpora."""
 
+import hashlib
 import inspect
 from collections import Counter
 
 import pytest
+from corpusloom.functions import hashing
 from corpusloom.llm.frequencies import p2_all_ngrams, p2_ngrams, repeated_ngrams
-from corpusloom.operators import bootstrap, experiment, model
+from corpusloom.operators import bootstrap, digests, experiment, model
 from corpusloom.operators.features import Vectorizer
 from corpusloom.operators.model import Training
 from corpusloom.plans import model_queries
+from pyspark.sql import functions as F
 
 from test_queries import FOLDER, pytestmark  # noqa: F401
 
@@ -80,3 +83,21 @@ def test_training_queries_use_the_defaults(spark, monkeypatch, name):
     assert seen["config"] == Training()
     assert seen.get("vectorizer", Vectorizer()) == Vectorizer()
     assert seen.get("features", (512, 1024, 2048)) == (512, 1024, 2048) and seen.get("penalties", (0.0001, 0.0005, 0.002)) == (0.0001, 0.0005, 0.002)
+
+
+def test_digests_of_whole_corpora(spark):
+    n = 100_200  # more than the aggregates take
+    lines = spark.range(n).selectExpr("concat('é', id * 7919 % 100003) AS x").repartition(7)
+    joined = "\n".join(sorted(f"é{i * 7919 % 100_003}" for i in range(n))).encode()
+    h = 0xCBF29CE484222325
+    for byte in joined:
+        h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+    assert digests.corpus_digest(lines, lines["x"], digests.sha256) == hashlib.sha256(joined).hexdigest()
+    assert digests.corpus_digest(lines, lines["x"], digests.fnv1a64) == f"fnv1a64:{h:016x}"
+    two = lines.withColumn("g", F.when(F.col("x") == "é0", "b").otherwise("a"))
+    assert dict(digests.grouped_digests(two, "g", F.col("x"), digests.sha256, "h").collect()) == {
+        "a": hashlib.sha256(joined.removeprefix("é0\né0\n".encode())).hexdigest(), "b": hashlib.sha256("é0\né0".encode()).hexdigest()
+    }
+    small = lines.limit(50)
+    assert digests.corpus_digest(small, F.col("x"), digests.sha256) == small.agg(hashing.dataset_sha256(F.col("x"))).first()[0]
+    assert digests.corpus_digest(small, F.col("x"), digests.fnv1a64) == small.agg(hashing.dataset_fingerprint(F.col("x"))).first()[0]
