@@ -97,7 +97,7 @@ _classes: dict[str, str] = {}
 
 def segment_class(java: bool = False) -> str:
     """The inside of a character class for :func:`unstable_codes`."""
-    if not _classes:
+    if "java" not in _classes:
         ranges = _ranges(unstable_codes())
         _classes["python"] = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
         _classes["java"] = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
@@ -127,8 +127,11 @@ def consistent_form(text: str) -> str:
 
 
 def has_unstable(text: Column) -> Column:
-    """The quick check of a whole text, in the JVM. ASCII and common accented letters pass at once."""
-    return text.rlike(r"[^\x{20}-\x{7E}\x{C0}-\x{17F}]") & text.rlike(f"[{segment_class(java=True)}]")
+    """The quick check of a whole text, in the JVM. ASCII and common accented letters pass at once, save the unstable ones."""
+    if "safe" not in _classes:
+        unstable = set(unstable_codes())
+        _classes["safe"] = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges([c for c in (*range(0x20, 0x7F), *range(0xC0, 0x180)) if c not in unstable]))
+    return text.rlike(f"[^{_classes['safe']}]") & text.rlike(f"[{segment_class(java=True)}]")
 
 
 def consistent_forms(rows: DataFrame, text: str = "text", out: str = "form") -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from corpusloom.functions import hashing
+from corpusloom.llm import lookalikes
 from corpusloom.llm.frequencies import p2_all_ngrams, p2_ngrams, repeated_ngrams
 from corpusloom.operators import bootstrap, digests, experiment, model
 from corpusloom.operators.features import Vectorizer
@@ -101,3 +102,9 @@ def test_digests_of_whole_corpora(spark):
     small = lines.limit(50)
     assert digests.corpus_digest(small, F.col("x"), digests.sha256) == small.agg(hashing.dataset_sha256(F.col("x"))).first()[0]
     assert digests.corpus_digest(small, F.col("x"), digests.fnv1a64) == small.agg(hashing.dataset_fingerprint(F.col("x"))).first()[0]
+
+
+def test_unstable_letters_in_the_fast_range(spark):
+    texts = [f"a{chr(c)}b" for c in (*range(0x20, 0x7F), *range(0xC0, 0x180))]
+    got = lookalikes.consistent_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["text"]: r["form"] for r in got} == {t: lookalikes.consistent_form(t) for t in texts}
