@@ -109,7 +109,31 @@ def test_temperature_finds_the_scale():
     z = rng.normal(size=(400, 3)) * 4
     p = np.exp(z / 2) / np.exp(z / 2).sum(1, keepdims=True)
     target = np.array([rng.choice(3, p=q) for q in p])
-    assert 1.4 < calibrate.golden_section(z, target) < 2.8
+    assert 1.4 < calibrate.best_temperature(z, target) < 2.8
+
+    def loss(t):
+        e = np.exp(z / t)
+        return -np.log(e[np.arange(400), target] / e.sum(1)).mean()
+
+    best = calibrate.best_temperature(z, target)
+    assert loss(best) <= min(loss(t) for t in np.linspace(best * 0.99, best * 1.01, 101)) + 1e-12
+    assert calibrate.best_temperature(z, z.argmax(1)) == 0.05 and calibrate.best_temperature(z, z.argmin(1)) == 20.0
+
+
+def test_temperature_over_all_rows(spark):
+    import numpy as np
+    from corpusloom.operators.model import Model, score
+
+    m = Model(("ink", "tea"), ("w1:leaf", "w1:pen"), (1.0, 1.5), ((-2.0, 3.0), (2.5, -1.0)), (0.1, -0.1))
+    rows = spark.createDataFrame([(i, "ink" if i % 3 else "tea", ["leaf", "pen", "leaf pen pen", ""][i % 4], "clash") for i in range(300)] + [(900, None, "leaf", "x"), (901, "ink", None, "x")], "id long, label string, text string, k string")
+    got = calibrate.calibrate_temperature(rows.repartition(5), m).first()
+    kept = score(rows.where("id < 900"), m).collect()
+    want = calibrate.best_temperature(np.array([r["logits"] for r in kept]), np.array([("ink", "tea").index(r["label"]) for r in kept]))
+    assert got["n"] == 300 and abs(got["temperature"] - want) < 1e-9
+    with pytest.raises(ValueError, match="no label"):
+        calibrate.calibrate_temperature(rows.selectExpr("id", "'cup' AS label", "text"), m)
+    with pytest.raises(ValueError, match="rows"):
+        calibrate.calibrate_temperature(rows.limit(0), m)
 
 
 def test_majority_and_naive_bayes(spark):
