@@ -1,7 +1,10 @@
 import os
+import random
 
 import pytest
 from corpusloom.llm import sentences as S
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 CASES = [
     ("Dr. Fo met Mrs. Ba. They left at 6 p.m. Really?!", ["Dr. Fo met Mrs. Ba.", "They left at 6 p.m.", "Really?!"]),
@@ -32,16 +35,58 @@ def test_boundaries(text, want):
     assert [text[a:b] for a, b in S.sentence_spans(text)] == want
 
 
-def test_composed_chunks_equal_one_run():
-    step, out, n = S.compile_rules()
-    text = "\n\n".join(t for t, _ in CASES) * 3
-    for size in (7, 40, 301):
-        whole, _ = S.transition(text, 0, len(text), step, out)
-        f = list(range(n))
-        for a in range(0, len(text), size):
-            g, _ = S.transition(text, a, min(a + size, len(text)), step, out)
-            f = [int(g[x]) for x in f]
-        assert f == whole.tolist()
+def in_chunks(text, chunk):
+    """Sentences by chunk functions and their composition, in plain Python."""
+    step = S.compile_rules()[0]
+    thai = any("\u0e00" <= c <= "\u0e7f" for c in text)
+    parts = list(S.chunks_of(text, chunk))
+    assert "".join(t for _, t in parts) == text
+    spans, state, opened = [], 0, None
+    for n, (base, t) in enumerate(parts):
+        events = S.chunk_symbols(t, thai, base)
+        found, left = S.chunk_spans(events, state, events[4] if n == 0 else None, base + len(t) == len(text))
+        spans += [(opened if a is None else a, b) for a, b in found]
+        opened = opened if left is None else left
+        state = int(S.transition(events[0], step)[state])
+    return spans
+
+
+PIECES = [t for t, _ in CASES if t] + ["\n\n", "\n- ", " ", "  \n", "“", "”", ")" * 40, "(", " " * 300, "x" * 90, "Next one", "am 3. März", "foo-bar v2", "\n\n7. Plan", "ends. Then", "สวัสดี ครับ", "。", "你好。他们", "か", "etc."]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14), st.sampled_from(["", " "]), st.integers(0, 60))
+def test_chunks_equal_the_whole(pieces, between, chunk):
+    text = between.join(pieces)
+    assert in_chunks(text, chunk) == S.sentence_spans(text)
+
+
+@pytest.mark.parametrize("text", ["สวัสดีครับ" + "x" * 8300 + " then more words. End here.", "It is (so." + ")" * 400 + " Then on we go. End", "He said “one. " + "two. Three " * 900 + "four.” And five six. “Seven", "End." + " " * 9000 + "Next word here. Last", "ab " * 5000 + "。" * 700 + "cd. Ef", "你好。他们来了。" * 2000])
+def test_awkward_texts_at_every_chunk_size(text):
+    want = S.sentence_spans(text)
+    for chunk in (0, 1, 17, 64, 256, 4000, 8192):
+        assert in_chunks(text, chunk) == want
+
+
+def test_safe_places_are_found_in_every_script():
+    for text, _ in CASES:
+        if len(text) > 40:
+            assert len(list(S.chunks_of(text * 30, 100))) > 3 or text.startswith(("今", "“完")), text
+
+
+def test_scan_is_a_tree(spark):
+    rng = random.Random(5)
+    chunks = {"one": 1, "some": 40, "many": 700}
+    fs = {(k, c): [rng.randrange(86) for _ in range(86)] for k, n in chunks.items() for c in range(n)}
+    df = spark.createDataFrame([(k, c, f) for (k, c), f in fs.items()], "k string, c int, f array<int>")
+    got = {(r["k"], r["c"]): r["state"] for r in S.scan(df).collect()}
+    want = {}
+    for k, n in chunks.items():
+        state = 0
+        for c in range(n):
+            want[k, c] = state
+            state = fs[k, c][state]
+    assert got == want and S.scan(df.limit(0)).count() == 0
 
 
 def test_frame_with_short_and_long_texts(spark):
