@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The separators of words are all characters outside this class.
-WORD_BREAK = r"[^\p{IsAlphabetic}\p{N}']+"
+# Words are letters and digits, with apostrophes only inside.
+WORD = r"[a-z0-9\p{IsAlphabetic}\p{N}]++(?:'++[a-z0-9\p{IsAlphabetic}\p{N}]++)*+"
 ALNUM_RUN = r"[\p{IsAlphabetic}\p{N}]+"
 MAX_CHARS = 512
 
@@ -36,12 +36,17 @@ def squeeze(c: Column | str) -> Column:
 
 def lower_by_char(c: Column | str) -> Column:
     """Lower case character by character: a capital sigma never becomes a final one."""
-    return F.lower(F.translate(col(c), "Σ", "σ"))
+    return F.lower(F.replace(col(c), F.lit("Σ"), F.lit("σ")))
+
+
+def straight(c: Column) -> Column:
+    """Typographic apostrophes become straight ones."""
+    return F.replace(F.replace(c, F.lit("’"), F.lit("'")), F.lit("‘"), F.lit("'"))
 
 
 def normalize(c: Column | str) -> Column:
     """v1 normal form: lower case, straight apostrophes, single blanks. Null stays null."""
-    return squeeze(F.translate(lower_by_char(c), "’‘", "''"))
+    return squeeze(straight(lower_by_char(c)))
 
 
 def nfkc_of(texts: pd.Series) -> pd.Series:
@@ -62,14 +67,13 @@ def normalize_nfkc(c: Column | str) -> Column:
 
 def words(normal: Column | str) -> Column:
     """Words of a normalised text. Apostrophes inside a word stay, those at its ends go."""
-    trimmed = F.transform(F.split(col(normal), WORD_BREAK, -1), lambda w: F.btrim(w, F.lit("'")))
-    return F.filter(trimmed, lambda w: w != "")
+    return F.regexp_extract_all(col(normal), F.lit(WORD), F.lit(0))
 
 
 def tokens(c: Column | str, profile: str = "v1") -> Column:
     """Words of a text. White space is left as it is, since it separates words in any amount."""
     plain = {"v1": col, "v3": nfkc}[profile](c)
-    return words(F.translate(lower_by_char(plain), "’‘", "''"))
+    return words(straight(lower_by_char(plain)))
 
 
 def feature_identity(toks: Column | str) -> Column:
