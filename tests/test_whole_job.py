@@ -2,12 +2,9 @@
 
 import hashlib
 import inspect
-from collections import Counter
 
 import pytest
 from corpusloom.functions import hashing
-from corpusloom.llm import lookalikes
-from corpusloom.llm.frequencies import p2_all_ngrams, p2_ngrams, repeated_ngrams
 from corpusloom.operators import bootstrap, digests, experiment, model
 from corpusloom.operators.features import Vectorizer
 from corpusloom.operators.model import Training
@@ -41,27 +38,6 @@ def test_bootstrap_has_no_bound_on_draws(spark, monkeypatch):
     assert {r[0]: r[1] for r in got} == {"0|0": 400, "0|1": 300}
 
 
-def test_ngrams_of_every_length(spark):
-    base = "a b c d e f g h a b c d e".split()
-    texts = [" ".join(base[i % 5 : 5 + i % 9]) + " it's x" * (i % 3) for i in range(60)] + [None, "", "?!", "a b a b a b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    occurrences, records = Counter(), Counter()
-    for t in texts:
-        w = [x for x in (t or "").split() if x != "?!"]
-        grams = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
-        occurrences.update(grams)
-        records.update(set(grams))
-    want = {(len(g.split()), g, occurrences[g], n) for g, n in records.items() if n >= 2}
-    got = [tuple(r) for r in repeated_ngrams(df.repartition(5), "k").collect()]
-    assert len(got) == len(want) and set(got) == want and max(n for n, *_ in want) > 8
-
-
-def test_all_ngrams_agree_with_the_short_ones(spark):
-    whole = p2_all_ngrams(spark, FOLDER).cache()
-    assert sorted(map(tuple, whole.where("n <= 3").collect())) == sorted(map(tuple, p2_ngrams(spark, FOLDER).collect()))
-    assert whole.where("n > 3").count() > 0
-
-
 @pytest.mark.parametrize("name", ["train_softmax", "evaluate_v1", "evaluate_id", "calibrate_temperature", "select_candidate"])
 def test_training_queries_use_the_defaults(spark, monkeypatch, name):
     seen = {}
@@ -102,9 +78,3 @@ def test_digests_of_whole_corpora(spark):
     small = lines.limit(50)
     assert digests.corpus_digest(small, F.col("x"), digests.sha256) == small.agg(hashing.dataset_sha256(F.col("x"))).first()[0]
     assert digests.corpus_digest(small, F.col("x"), digests.fnv1a64) == small.agg(hashing.dataset_fingerprint(F.col("x"))).first()[0]
-
-
-def test_unstable_letters_in_the_fast_range(spark):
-    texts = [f"a{chr(c)}b" for c in (*range(0x20, 0x7F), *range(0xC0, 0x180))]
-    got = lookalikes.consistent_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
-    assert {r["text"]: r["form"] for r in got} == {t: lookalikes.consistent_form(t) for t in texts}
