@@ -1,7 +1,7 @@
 """How often every word and n-gram occurs, and in how many records.
 
 Defined results: null texts are left out; texts without words count as records but hold nothing;
-repeated rows each count; an empty table gives no rows. Extra columns are ignored.
+repeated rows each count (their keys must differ); an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -11,27 +11,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.layout import spread
-from .suffixes import all_intervals, prefix_intervals, sort_suffixes, suffixes, whole_suffixes
+from .suffixes import ngrams
 
-DEPTH = 3
 COMMON_SHARE = 0.05
 
 
-def ngram_counts(rows: DataFrame, record: str, text: str = "text", profile: str = "v1", depth: int = DEPTH) -> DataFrame:
-    """``n``, ``words``, ``occurrences``, ``records`` of all n-grams of up to ``depth`` words."""
-    return prefix_intervals(sort_suffixes(suffixes(rows.where(F.col(text).isNotNull()), record, tokens(text, profile), depth), depth), depth)
+def ngram_counts(rows: DataFrame, record: str, text: str = "text", profile: str = "v1", lone: int = 0, longest: int | None = None) -> DataFrame:
+    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length in two records or more.
 
+    Those of one record alone are given up to ``lone`` words: all of them would be the square of a text's length.
+    """
+    return ngrams(rows.where(F.col(text).isNotNull()), record, tokens(text, profile), lone, longest)
 
-def repeated_ngrams(rows: DataFrame, record: str, text: str = "text", profile: str = "v1") -> DataFrame:
-    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length in two records or more."""
-    return all_intervals(whole_suffixes(rows.where(F.col(text).isNotNull()), record, tokens(text, profile)))
 
-
-def marked_counts(rows: DataFrame, record: str, text: str = "text", profile: str = "v1", depth: int = DEPTH, common_share: float = COMMON_SHARE) -> DataFrame:
-    """n-gram counts with ``mark``: ``rare`` in exactly one record, ``common`` in more than ``common_share`` of those with text."""
-    total = rows.agg(F.count(text).alias("total"))
-    mark = F.when(F.col("records") == 1, F.lit("rare")).when(F.col("records") > F.col("total") * F.lit(common_share), F.lit("common"))
-    return ngram_counts(rows, record, text, profile, depth).join(F.broadcast(total), how="cross").withColumn("mark", mark).drop("total")
+def marked_words(rows: DataFrame, record: str, text: str = "text", profile: str = "v1", common_share: float = COMMON_SHARE) -> DataFrame:
+    """``term``, ``occurrences``, ``records``, ``mark``: ``rare`` in exactly one record, ``common`` in more than ``common_share`` of those with text."""
+    total = rows.where(F.col(text).isNotNull()).count()
+    mark = F.when(F.col("records") == 1, F.lit("rare")).when(F.col("records") > F.lit(total) * F.lit(common_share), F.lit("common"))
+    return ngram_counts(rows, record, text, profile, 1, 1).select(F.col("ngram").alias("term"), "occurrences", "records", mark.alias("mark"))
 
 
 def _intents(spark: SparkSession, d: str) -> DataFrame:
@@ -39,20 +36,14 @@ def _intents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    marked = marked_counts(_intents(spark, d), "row_no").where("n = 1 AND mark IS NOT NULL")
-    return marked.select(F.get("words", F.lit(0)).alias("term"), "mark")
+    return p2_counts(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """Words with their counts and mark."""
-    return marked_counts(_intents(spark, d), "row_no").where("n = 1").select(F.get("words", F.lit(0)).alias("term"), "occurrences", "records", "mark")
+    return marked_words(_intents(spark, d), "row_no")
 
 
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Word n-grams of up to three words found in at least two prompts, as its SQL has them; ``p2_all_ngrams`` has all lengths."""
-    return ngram_counts(_intents(spark, d), "row_no").where("records >= 2").select("n", F.array_join("words", " ").alias("ngram"), "occurrences", "records")
-
-
-def p2_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Word n-grams of all lengths found in at least two prompts."""
-    return repeated_ngrams(_intents(spark, d), "row_no")
+    """Word n-grams of every length found in at least two prompts."""
+    return ngram_counts(_intents(spark, d), "row_no")

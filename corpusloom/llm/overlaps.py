@@ -2,9 +2,10 @@
 
 Two questions need two orders of words.
 
-*Which spans are shared*: :func:`shared_coverage` sorts the suffixes of all texts in their own order; a
-suffix of an evaluation record whose first ``SPAN`` words also begin a training suffix is a shared span, and
-overlapping spans are merged into the share of the record's words they cover.
+*Which spans are shared*: :func:`shared_coverage` sorts the suffixes of all texts in their own order, the training
+ones among the others. The longest prefix an evaluation suffix shares with training is the one it shares with the
+nearest training suffix before or after it; prefixes of ``SPAN`` words or more are shared spans, and overlapping spans
+are merged into the share of the record's words they cover.
 
 *Which records are almost the same as sets of words*: the order of words says nothing here, so
 :func:`near_pairs` writes every record as its distinct words, rarest first, and works on the suffixes of
@@ -14,8 +15,9 @@ suffixes that begin with it have a common prefix, and it can only stand at the f
 first word and the partner's length, thinned by the bits in which the word sets differ, and checked
 exactly. No pair is lost and none is dropped by a cap.
 
-Defined results: null texts and null splits are left out; a record without words is like none; equal
-records are searched once and expanded afterwards; several training copies each count.
+Defined results: null texts and null splits are left out; a record without words is like none, and no word of it is
+covered; a record of fewer than ``SPAN`` words is covered if all of it occurs in training; equal records are searched
+once and expanded, or multiplied in numbers, afterwards; several training copies each count.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.checkpoints import cut
 from ..operators.layout import spread
-from .suffixes import crossing_suffixes, plain_suffixes
+from .suffixes import BLOCK, borders, placed
 
 SKETCH_BITS = 18  # buckets of the word counts that order the words: a fixed size, whatever the input
 WIDTH = math.log(1.25)  # partners' lengths are matched in geometric steps
@@ -42,11 +44,12 @@ def distinct_words(text: str, profile: str) -> Column:
     return F.array_sort(F.array_distinct(tokens(text, profile)))
 
 
-def word_sets(rows: DataFrame, row: str, text: str, split: str, train: str, profile: str) -> DataFrame:
-    """``row``, ``tr`` (in the training split), ``ids`` (hashes of the distinct words, by word), ``set_key``."""
+def set_keys(rows: DataFrame, row: str, text: str, split: str, train: str, profile: str, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``row``, ``tr`` (in the training split), ``set_key`` (a digest of the distinct words) and the columns to keep."""
     known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull())
-    sets = known.select(F.col(row).alias("row"), (F.col(split) == train).alias("tr"), distinct_words(text, profile).alias("words")).where(F.size("words") > 0)
-    return sets.select("row", "tr", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("set_key"))
+    words = F.array_join(distinct_words(text, profile), " ")
+    keyed = known.select(F.col(row).alias("row"), (F.col(split) == train).alias("tr"), words.alias("w"), *keep).where("w <> ''")
+    return keyed.withColumn("set_key", F.substring(F.unhex(F.sha2("w", 256)), 1, 16)).drop("w")
 
 
 def _least_shared(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
@@ -54,7 +57,7 @@ def _least_shared(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * (n + m) / (1 + t) - 1e-6).astype(np.int64)
 
 
-def near_pairs(sets: DataFrame, words: DataFrame, tenths: int, profile: str) -> DataFrame:
+def near_pairs(keys: DataFrame, words: DataFrame, tenths: int, profile: str) -> DataFrame:
     """Pairs of word sets, one in training and one outside, as ``key_a`` (training), ``key_b``; a set in both is a pair.
 
     The search works on hashes of words, which can only add candidates: equal words have equal hashes, and the order of a
@@ -62,18 +65,19 @@ def near_pairs(sets: DataFrame, words: DataFrame, tenths: int, profile: str) ->
     from ``words`` (row, text). ``tenths``: the least similarity in tenths, so that this check is in whole numbers.
     """
     t = tenths / 10
-    classes = sets.groupBy("set_key").agg(F.min("row").alias("rep"), F.first("ids").alias("ids"), F.max("tr").alias("tr"), F.max(~F.col("tr")).alias("ev"))
-    classes = cut(classes)
+    classes = cut(keys.groupBy("set_key").agg(F.min("row").alias("rep"), F.max("tr").alias("tr"), F.max(~F.col("tr")).alias("ev")))
+    ids = F.transform(distinct_words("text", profile), lambda w: F.xxhash64(w))
+    searched = cut(words.join(classes.select(F.col("rep").alias("row"), "tr", "ev"), "row").select(F.col("row").alias("rep"), ids.alias("ids"), "tr", "ev"))
     mask = (1 << SKETCH_BITS) - 1
     sketch = (
-        classes.select(F.explode("ids").alias("id"), F.col("tr").cast("int").alias("tr"), F.col("ev").cast("int").alias("ev"))
+        searched.select(F.explode("ids").alias("id"), F.col("tr").cast("int").alias("tr"), F.col("ev").cast("int").alias("ev"))
         .groupBy(F.col("id").bitwiseAND(F.lit(mask)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("tr").alias("tr"), F.max("ev").alias("ev"))
     )
     counts, in_train, in_eval = np.zeros(mask + 1, np.int64), np.zeros(mask + 1, bool), np.zeros(mask + 1, bool)
     got = sketch.toPandas()  # at most 2 ** SKETCH_BITS rows
     at = got["bucket"].to_numpy(np.int64)
     counts[at], in_train[at], in_eval[at] = got["n"], got["tr"] > 0, got["ev"] > 0
-    held = sets.sparkSession.sparkContext.broadcast((counts, in_train, in_eval))
+    held = keys.sparkSession.sparkContext.broadcast((counts, in_train, in_eval))
     fields = [("id", pa.int64()), ("step", pa.int32()), ("rep", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())]
     ddl = "id bigint, step int, rep bigint, n int, at int, s1 bigint, s2 bigint"
 
@@ -114,9 +118,8 @@ def near_pairs(sets: DataFrame, words: DataFrame, tenths: int, profile: str) ->
             reps = batch.column("rep").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip((flat, step, reps[rec], size, place, s1[rec].view(np.int64), s2[rec].view(np.int64)), fields)], [f for f, _ in fields])
 
-    source = classes.select("rep", "ids", "tr", "ev")
-    probe = source.where("ev").select("rep", "ids").mapInArrow(lambda b: ordered(b, True), ddl).toDF("id", "step", "rep_b", "nb", "at_b", "b1", "b2")
-    index = source.where("tr").select("rep", "ids").mapInArrow(lambda b: ordered(b, False), ddl).toDF("id", "step", "rep_a", "na", "at_a", "a1", "a2")
+    probe = searched.where("ev").select("rep", "ids").mapInArrow(lambda b: ordered(b, True), ddl).toDF("id", "step", "rep_b", "nb", "at_b", "b1", "b2")
+    index = searched.where("tr").select("rep", "ids").mapInArrow(lambda b: ordered(b, False), ddl).toDF("id", "step", "rep_a", "na", "at_a", "a1", "a2")
     least = f"ceil({tenths}D * (na + nb) / {10 + tenths}D - 1e-6D)"
     met = probe.join(index, ["id", "step"]).where(
         f"rep_a <> rep_b AND at_a <= na - {least} AND at_b <= nb - {least} AND bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= na + nb - 2 * {least}"
@@ -134,26 +137,92 @@ def near_pairs(sets: DataFrame, words: DataFrame, tenths: int, profile: str) ->
 
 def split_overlaps(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", tenths: int = 7, profile: str = "v3") -> DataFrame:
     """``train_row``, ``other_row``: all pairs whose sets of distinct words have shared / total >= tenths / 10."""
-    sets = cut(word_sets(rows, row, text, split, train, profile))
-    pairs = cut(near_pairs(sets, rows.select(F.col(row).alias("row"), F.col(text).alias("text")), tenths, profile))
-    left = sets.where("tr").select(F.col("set_key").alias("key_a"), F.col("row").alias("train_row"))
-    right = sets.where("NOT tr").select(F.col("set_key").alias("key_b"), F.col("row").alias("other_row"))
+    keys = cut(set_keys(rows, row, text, split, train, profile))
+    pairs = cut(near_pairs(keys, rows.select(F.col(row).alias("row"), F.col(text).alias("text")), tenths, profile))
+    left = keys.where("tr").select(F.col("set_key").alias("key_a"), F.col("row").alias("train_row"))
+    right = keys.where("NOT tr").select(F.col("set_key").alias("key_b"), F.col("row").alias("other_row"))
     return pairs.join(left, "key_a").join(right, "key_b").select("train_row", "other_row")
 
 
-def shared_coverage(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", span: int = SPAN, profile: str = "v3") -> DataFrame:
-    """Per evaluation record with at least ``span`` words: ``n_words``, ``covered`` (words in spans shared with training).
+def overlap_report(rows: DataFrame, by: dict[str, Column], row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", tenths: int = 7, profile: str = "v3") -> DataFrame:
+    """Per evaluation group ``by``: ``n_rows`` with an overlap in training and their ``links``. Copies are multiplied, not paired."""
+    keys = cut(set_keys(rows, row, text, split, train, profile, tuple(c.alias(n) for n, c in by.items())))
+    pairs = near_pairs(keys, rows.select(F.col(row).alias("row"), F.col(text).alias("text")), tenths, profile)
+    copies = keys.where("tr").groupBy(F.col("set_key").alias("key_a")).agg(F.count(F.lit(1)).alias("copies"))
+    links = pairs.join(copies, "key_a").groupBy(F.col("key_b").alias("set_key")).agg(F.sum("copies").alias("links"))
+    met = keys.where("NOT tr").groupBy("set_key", *by).agg(F.count(F.lit(1)).alias("m")).join(links, "set_key")
+    return met.groupBy(*by).agg(F.sum("m").alias("n_rows"), F.sum(F.col("m") * F.col("links")).alias("links"))
+
+
+def _words_shared(a: list[str], b: str | None) -> int:
+    n = 0
+    if b is not None:
+        for x, y in zip(a, b.split(" ")):
+            if x != y:
+                break
+            n += 1
+    return n
+
 
-    The sorted suffixes of both sides show which spans cross; a record's spans are merged by their reach.
+def shared_spans(known: DataFrame, record: str, span: int) -> DataFrame:
+    """``record``, ``pos``, ``shared``: how many words from there (``BLOCK`` at most) also stand in training, if ``span`` or the whole record.
+
+    ``known`` has the record, ``tr`` and ``words``. Longer spans come out by their later places, so merged spans are
+    the same as those of whole prefixes.
     """
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = borders(known, record, F.col("words"), parts)
+    kind = known.schema[record].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trained: set[str] = set()
+            own: list[tuple[str, int, int, int]] = []
+            for i, (tr, words) in enumerate(zip(batch.column("tr").to_pylist(), batch.column("words").to_pylist())):
+                need = min(span, len(words))
+                suffixes = [(" ".join(words[k : k + BLOCK]), k) for k in range(len(words) if tr else len(words) - need + 1)]
+                if tr:
+                    trained.update(s for s, _ in suffixes)
+                else:
+                    own += [(s, i, k, need) for s, k in suffixes]
+            s = [*trained, *[x[0] for x in own]]
+            rest = lambda j: [None] * len(trained) + [x[j] for x in own]
+            yield pa.RecordBatch.from_arrays([placed(s, edges), pa.array(s, pa.string()), batch.column("record").take(pa.array(rest(1), pa.int64())), pa.array(rest(2), pa.int32()), pa.array(rest(3), pa.int32())], ["part", "s", "record", "pos", "need"])
+
+    some = known.select(F.col(record).alias("record"), "tr", "words").where(F.size("words") > 0)
+    array = cut(some.mapInArrow(make, f"part int, s string, record {kind}, pos int, need int").repartitionById(len(edges) + 1, F.col("part")))
+    # The nearest training suffixes beyond a partition's ends stand in it too: one row a partition, two copies each.
+    ends = sorted(tuple(r) for r in array.where("pos IS NULL").groupBy("part").agg(F.min("s"), F.max("s")).collect())
+    beyond = []
+    for p in range(len(edges) + 1):
+        beyond += [(p, e[2]) for e in [x for x in ends if x[0] < p][-1:]] + [(p, e[1]) for e in [x for x in ends if x[0] > p][:1]]
+    extra = known.sparkSession.createDataFrame(beyond, "part int, s string").select("part", "s", F.lit(None).cast(kind).alias("record"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("need"))
+    trained = F.when(F.col("pos").isNull(), F.col("s"))
+    up, down = Window.partitionBy("part").orderBy("s", F.col("pos").asc_nulls_first()), Window.partitionBy("part").orderBy(F.desc("s"), F.col("pos").asc_nulls_first())
+    near = array.unionByName(extra).withColumn("a", F.last(trained, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(trained, True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = []
+            for s, a, b in zip(batch.column("s").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                words = s.split(" ")
+                shared.append(max(_words_shared(words, a), _words_shared(words, b)))
+            yield pa.RecordBatch.from_arrays([batch.column("record"), batch.column("pos"), batch.column("need"), pa.array(shared, pa.int32())], ["record", "pos", "need", "shared"])
+
+    asked = near.where("pos IS NOT NULL").select("record", "pos", "need", "s", "a", "b")
+    return asked.mapInArrow(measure, f"record {kind}, pos int, need int, shared int").where("shared >= need").drop("need")
+
+
+def shared_coverage(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", span: int = SPAN, profile: str = "v3") -> DataFrame:
+    """Per evaluation record: ``n_words``, ``covered`` (words in spans of ``span`` or more shared with training), ``spans`` after merging."""
     known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull()).select(row, (F.col(split) == train).alias("tr"), tokens(text, profile).alias("words"))
-    hits = crossing_suffixes(plain_suffixes(known, row, F.col("words"), span, ["tr"]), "tr", span)
-    # A record's own hits are bounded by its words.
-    reach = F.max(F.col("pos") + F.lit(span)).over(Window.partitionBy("record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = hits.select("record", (F.col("pos") + span - F.greatest(F.col("pos"), F.coalesce(reach, F.lit(0)))).alias("fresh"))
-    covered = fresh.groupBy("record").agg(F.sum("fresh").alias("covered"))
-    sizes = known.where("NOT tr").select(F.col(row).alias("record"), F.size("words").cast("bigint").alias("n_words")).where(F.col("n_words") >= span)
-    return sizes.join(covered, "record", "left").select(F.col("record").alias(row), "n_words", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"))
+    reach = F.max(F.col("pos") + F.col("shared")).over(Window.partitionBy("record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = shared_spans(known, row, span).withColumn("reach", F.coalesce(reach, F.lit(-1)))
+    merged = fresh.groupBy("record").agg(
+        F.sum(F.greatest(F.lit(0), F.col("pos") + F.col("shared") - F.greatest(F.col("pos"), F.col("reach")))).alias("covered"), F.sum((F.col("pos") > F.col("reach")).cast("bigint")).alias("spans")
+    )
+    sizes = known.where("NOT tr").select(F.col(row).alias("record"), F.size("words").cast("bigint").alias("n_words"))
+    return sizes.join(merged, "record", "left").select(F.col("record").alias(row), "n_words", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"), F.coalesce("spans", F.lit(0)).cast("bigint").alias("spans"))
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
@@ -167,12 +236,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows of evaluation splits with an overlap in training, and their links, per split and group."""
-    rows = _examples(spark, d)
-    links = split_overlaps(rows).groupBy(F.col("other_row").alias("row_no")).agg(F.count(F.lit(1)).alias("links"))
-    key = F.lower(F.btrim("group_id", F.lit(" ")))
-    return rows.join(links, "row_no").groupBy("split_name", key.alias("group_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("links").alias("links"))
+    by = {"split_name": F.col("split_name"), "group_id": F.lower(F.btrim("group_id", F.lit(" ")))}
+    return overlap_report(_examples(spark, d), by).select("split_name", "group_id", "n_rows", "links")
 
 
 def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """How much of every evaluation row lies in spans of five words or more shared with training."""
+    """How much of every evaluation row lies in spans of five words or more shared with training, and how many such spans there are."""
     return shared_coverage(_examples(spark, d))

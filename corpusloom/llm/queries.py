@@ -20,7 +20,7 @@ FORM = f"trim(nfc_normalize(replace(replace(translate(text, '{_SEEN}{_UNSEEN}',
 FORMS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_no, text, {FORM} AS form FROM {t} WHERE text IS NOT NULL" for t in ("intents_v1", "ood_test_v3"))
 V3_WORDS = f"list_distinct({tokens_sql(nfkc_sql('text'))})"
 OVERLAPS = f"WITH s AS (SELECT row_no, split_name, group_id, {V3_WORDS} AS w FROM grouped_examples WHERE text IS NOT NULL AND split_name IS NOT NULL), u AS (SELECT row_no, split_name = 'train' AS tr, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT a.row_no AS a, b.row_no AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.w = b.w AND a.tr AND NOT b.tr GROUP BY ALL), f AS (SELECT a, b FROM c WHERE k * 10 >= 7 * (na + nb - k))"
-GRAMS = f"WITH t AS (SELECT row_no, {tokens_sql('text')} AS t FROM intents_v1 WHERE text IS NOT NULL), g AS (" + " UNION ALL ".join(f"SELECT row_no, {n} AS n, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS ngram FROM t" for n in (1, 2, 3)) + ")"
+GRAMS = f"WITH t AS (SELECT row_no, {tokens_sql('text')} AS t FROM intents_v1 WHERE text IS NOT NULL), p AS (SELECT row_no, t, unnest(range(1, len(t) + 1)) AS i FROM t), g AS (SELECT row_no, k - i + 1 AS n, array_to_string(t[i:k], ' ') AS ngram FROM (SELECT *, unnest(range(i, len(t) + 1)) AS k FROM p))"
 
 WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+'), lambda w: trim(w, '''')), lambda w: w <> '')"
 TOKENS = "coalesce(n_tokens, octet_length(encode(text)) + 1)"
@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH f AS ({FORMS}) SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.row_no < b.row_no AND a.text <> b.text",
         "p1_forms": f"SELECT table_name, row_no, form FROM ({FORMS})",
-        "p2_ngrams": f"{GRAMS} SELECT n, ngram, count(*)::BIGINT AS occurrences, count(DISTINCT row_no)::BIGINT AS records FROM g GROUP BY ALL HAVING count(DISTINCT row_no) >= 2",
+        "p2_ngrams": f"{GRAMS} SELECT n::INTEGER AS n, ngram, count(*)::BIGINT AS occurrences, count(DISTINCT row_no)::BIGINT AS records FROM g GROUP BY ALL HAVING count(DISTINCT row_no) >= 2",
         "p4_record_scores": f"{per_row}, l AS (SELECT row_no, sum(n) AS l FROM c GROUP BY row_no), ff AS (SELECT term, sum(n) AS f FROM c GROUP BY term), ww AS (SELECT sum(n) AS words FROM c) SELECT row_no, term, n::BIGINT AS n, d::BIGINT AS d, round({of_record}, 6) AS score FROM c JOIN d USING (term) JOIN l USING (row_no) JOIN ff USING (term), t, ww",
         "p4_label_scores": f"{per_row}, k AS (SELECT label, term, count(*)::BIGINT AS dl, sum(n) AS n FROM c WHERE label IN {SEVEN} GROUP BY ALL), l AS (SELECT label, sum(n) AS l FROM k GROUP BY label), av AS (SELECT avg(l) AS avg_l FROM l), a AS (SELECT term, sum(dl)::BIGINT AS d_all, sum(n) AS f FROM k GROUP BY term) SELECT label, term, n::BIGINT AS n, dl AS d_label, d_all, round({of_label}, 6) AS score FROM k JOIN l USING (label) JOIN a USING (term), av",
         "p6_found": f"{OVERLAPS} SELECT least(a, b) AS row_a, greatest(a, b) AS row_b FROM f",

@@ -1,14 +1,19 @@
 """Suffix arrays of word sequences, sorted across partitions.
 
-A suffix is cut at ``depth`` words; a record's end ends its suffixes. Suffixes are range-partitioned
-by their words *and* their record, so a word that begins a third of all suffixes spreads over many
-partitions. Within a partition they are sorted, the common prefix with the neighbour is taken, and an
-interval of common prefixes of d words is an n-gram. An interval that goes on in another partition
-comes out in parts, which are added up.
+A suffix runs to its record's end. It is written as its words joined by blanks (a blank sorts before every character
+of a word, so suffixes that begin with one n-gram stay together), ``BLOCK`` words at a time: suffixes that share a
+whole block go on to a further level, where a digest stands for the blocks before. So the array's size is that of the
+words times the block, not the square of a text's length, and no suffix is cut short.
+
+Suffixes are partitioned by the order of their text, with borders taken from a bounded sample (borders only even out
+the work; they can't change the result), and sorted within. Equal suffixes are counted before they are shuffled, so
+copies of a record are few rows.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,215 +24,239 @@ from pyspark.sql import functions as F
 
 from ..operators.checkpoints import cut
 
+BLOCK = 64  # words compared at a level
+SAMPLE, SAMPLE_PLACES, SAMPLE_CHARS = 4096, 16, 200  # records, places of each and characters that borders are chosen from
+RUN = 50_000  # rows in an output batch
+
+
+def own_order(words: list[str]) -> tuple[list[int], list[int]]:
+    """The suffixes' places in their own order, and the words each shares with the one before it there."""
+    n = len(words)
+    if n <= BLOCK:
+        if len(set(words)) == n:
+            return list(range(n)), [0] * n
+        order = sorted(range(n), key=lambda k: words[k:])
+        shared = [0] * n
+        for t in range(1, n):
+            a, b, m = order[t - 1], order[t], 0
+            while a + m < n and b + m < n and words[a + m] == words[b + m]:
+                m += 1
+            shared[t] = m
+        return order, shared
+    # Prefix doubling: ranks of the first 1, 2, 4, .. words.
+    codes: dict[str, int] = {w: i for i, w in enumerate(sorted(set(words)))}
+    ranks, k = [np.array([codes[w] for w in words], np.int64)], 1
+    while k < n and ranks[-1].max() < n - 1:
+        r = ranks[-1]
+        then = np.full(n, -1, np.int64)
+        then[: n - k] = r[k:]
+        ranks.append(np.unique(r * (n + 1) + then + 1, return_inverse=True)[1])
+        k *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    shared = np.zeros(n, np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        inside = (a < n) & (b < n)
+        same = inside & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
+        shared[1:] += same << level
+        a, b = a + (same << level), b + (same << level)
+    return order.tolist(), shared.tolist()
+
+
+def borders(rows: DataFrame, record: str, toks: Column, parts: int) -> list[str]:
+    """Suffixes that part the array into about ``parts`` pieces, from a sample of fixed size."""
+    if parts < 2:
+        return []
+    few = F.pmod(F.xxhash64(record), F.lit(max(1, rows.count() // SAMPLE))) == 0
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words in batch.column(0).to_pylist():
+                step = max(1, len(words) // SAMPLE_PLACES)
+                out += [" ".join(words[k : k + BLOCK])[:SAMPLE_CHARS] for k in range(0, len(words), step)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["s"])
 
-def suffixes(rows: DataFrame, record: str, toks: Column, depth: int) -> DataFrame:
-    """One row per word position: ``record``, ``pos``, words ``w1``.. (null past the end), ``dup``.
-
-    ``dup`` is the longest common prefix with the suffix before it in the record's own sorted order:
-    n-grams of up to that many words occurred in this record already.
-    """
-    words = F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: F.struct(*[F.get(F.col("toks"), i + (k - 1)).alias(f"w{k + 1}") for k in range(depth)], i.alias("pos")))
-    local = rows.select(F.col(record).alias("record"), toks.alias("toks")).where(F.size("toks") > 0).select("record", F.array_sort(words).alias("s"))
-
-    def common(a: Column, b: Column) -> Column:
-        n = F.lit(0)
-        for k in range(depth, 0, -1):
-            n = F.when(a[f"w{k}"] == b[f"w{k}"], F.lit(1) + n).otherwise(F.lit(0))
-        return n
-
-    s = F.col("s")
-    with_dup = F.transform(s, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, common(x, F.get(s, i - 1))).otherwise(F.lit(0)).alias("dup")))
-    return local.select("record", F.explode(with_dup).alias("e")).select("record", "e.x.*", "e.dup")
-
-
-def plain_suffixes(rows: DataFrame, record: str, toks: Column, depth: int, keep: list[str]) -> DataFrame:
-    """Suffixes of at least ``depth`` words: ``record``, ``keep``, ``pos`` (from 1), ``w1``.. without gaps."""
-    words = F.transform(F.sequence(F.lit(1), F.size("toks") - (depth - 1)), lambda i: F.struct(i.alias("pos"), *[F.get(F.col("toks"), i + (k - 1)).alias(f"w{k + 1}") for k in range(depth)]))
-    return rows.select(F.col(record).alias("record"), *keep, toks.alias("toks")).where(F.size("toks") >= depth).select("record", *keep, F.explode(words).alias("e")).select("record", *keep, "e.*")
+    got = sorted(r["s"] for r in rows.where(few).select(toks.alias("toks")).where(F.size("toks") > 0).mapInArrow(places, "s string").collect())
+    return sorted({got[len(got) * p // parts] for p in range(1, parts)}) if got else []
 
 
-def crossing_suffixes(suf: DataFrame, inside: str, depth: int) -> DataFrame:
-    """``record``, ``pos`` of the suffixes without ``inside`` whose first ``depth`` words also begin one with it.
+def sorted_suffixes(rows: DataFrame, record: str, toks: Column, edges: list[str]) -> DataFrame:
+    """The array's first level: ``s``, ``dup``, ``weight``; ``record``, ``pos`` of those of more than ``BLOCK`` words.
 
-    Suffixes are sorted over all partitions, those inside first among equal ones. A run of equal suffixes is then
-    decided by its first row, unless it came over from an earlier partition; only a partition's first run can have. Such
-    rows stay open, and every partition says which words end it and whether that run has an inside suffix: two rows a
-    partition at most, broadcast to settle the open ones.
+    ``dup`` is the longest common prefix with the suffix before it in the record's own order: n-grams of up to that
+    many words occurred in this record already. Equal suffixes of a batch are one row with their number.
     """
-    names = [f"w{k + 1}" for k in range(depth)]
-    order = [*map(F.col, names), F.col(inside).desc(), F.col("record"), F.col("pos")]
-    ordered = suf.repartitionByRange(*order).sortWithinPartitions(*order).select(*names, inside, "record", "pos")
+    kind = rows.schema[record].dataType.simpleString()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, met, first_run = None, False, True
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            cols = [batch.column(c) for c in names]
-            same = np.ones(n, bool)
-            for c in cols:
-                same[1:] &= pc.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            head = [c[0].as_py() for c in cols]
-            same[0] = last is not None and head == last
-            own = batch.column(inside).to_numpy(zero_copy_only=False)
-            begins = np.flatnonzero(~same)
-            starts = begins if len(begins) and begins[0] == 0 else np.concatenate([[0], begins]).astype(np.int64)
-            has = np.logical_or.reduceat(own, starts)
-            if same[0]:
-                has[0] |= met
-            run = np.cumsum(~same) - (0 if same[0] else 1)
-            in_first = np.zeros(len(starts), bool)
-            in_first[0] = first_run if same[0] else last is None
-            if last is not None and not same[0]:
-                first_run = False
-            found = ~own & has[run]
-            open_ = ~own & ~has[run] & in_first[run]
-            at = np.flatnonzero(found | open_)
-            if len(at):
-                words = pa.array([[c[int(i)].as_py() for c in cols] if open_[i] else None for i in at], pa.list_(pa.string()))
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("record").take(take), batch.column("pos").take(take), words, pa.array(found[at])], ["record", "pos", "words", "found"])
-            if len(starts) > 1:
-                first_run = False
-            last, met = [c[n - 1].as_py() for c in cols], bool(has[-1])
-        if last is not None and met:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([last], pa.list_(pa.string())), pa.array([True])], ["record", "pos", "words", "found"])
-
-    seen = cut(ordered.mapInArrow(scan, "record bigint, pos int, words array<string>, found boolean"))
-    ends = seen.where("record IS NULL").select("words").distinct()  # at most one row a partition
-    settled = seen.where("record IS NOT NULL AND NOT found").join(F.broadcast(ends), "words", "left_semi")
-    return seen.where("record IS NOT NULL AND found").select("record", "pos").unionByName(settled.select("record", "pos"))
-
-
-def sort_suffixes(suf: DataFrame, depth: int) -> DataFrame:
-    order = [F.col(f"w{k + 1}").asc_nulls_first() for k in range(depth)] + [F.col("record")]
-    return suf.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def prefix_intervals(ordered: DataFrame, depth: int) -> DataFrame:
-    """All n-grams of 1 to ``depth`` words: ``n``, ``words``, ``occurrences``, ``records``.
-
-    Records are occurrences less those whose ``dup`` reaches the n-gram's length. The scan gives one
-    row per interval and Arrow batch; the intervals that a batch's or partition's edge cuts are then added up.
+            counts: dict[tuple[str, int], int] = {}
+            long: list[tuple[str, int, int, int]] = []
+            for i, words in enumerate(batch.column("toks").to_pylist()):
+                n = len(words)
+                if n <= BLOCK:
+                    text, at, starts = " ".join(words), 0, []
+                    for w in words:
+                        starts.append(at)
+                        at += len(w) + 1
+                    for k, d in zip(*own_order(words)):
+                        key = text[starts[k] :], d
+                        counts[key] = counts.get(key, 0) + 1
+                else:
+                    for k, d in zip(*own_order(words)):
+                        s = " ".join(words[k : k + BLOCK])
+                        if n - k > BLOCK:
+                            long.append((s, d, i, k))
+                            if len(long) >= RUN:
+                                yield _array_rows(batch.column("record"), {}, long, edges)
+                                long = []
+                        else:
+                            counts[s, d] = counts.get((s, d), 0) + 1
+            yield _array_rows(batch.column("record"), counts, long, edges)
+
+    made = rows.select(F.col(record).alias("record"), toks.alias("toks")).where(F.size("toks") > 0).mapInArrow(make, f"part int, s string, dup int, weight bigint, record {kind}, pos int")
+    return made.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("s").drop("part")
+
+
+def placed(s: list[str], edges: list[str]) -> pa.Array:
+    """The partition of each suffix."""
+    return pa.array([bisect.bisect_right(edges, x) for x in s], pa.int32())
+
+
+def _array_rows(records: pa.Array, counts: dict, long: list, edges: list[str]) -> pa.RecordBatch:
+    s = [k for k, _ in counts] + [x[0] for x in long]
+    dup = [d for _, d in counts] + [x[1] for x in long]
+    at = pa.array([None] * len(counts) + [x[2] for x in long], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [placed(s, edges), pa.array(s, pa.string()), pa.array(dup, pa.int32()), pa.array([*counts.values()] + [1] * len(long), pa.int64()), records.take(at), pa.array([None] * len(counts) + [x[3] for x in long], pa.int32())],
+        ["part", "s", "dup", "weight", "record", "pos"],
+    )
+
+
+def prefix_intervals(ordered: DataFrame, level: int = 0, lone: int = 0, longest: int | None = None) -> DataFrame:
+    """Intervals of common prefixes: ``n``, ``key``, ``occurrences``, ``records``, ``edge``, ``record``, ``pos``, ``dup``.
+
+    An interval of suffixes that share n words is an n-gram. Records are occurrences less those whose ``dup`` reaches n.
+    N-grams of one record are given only up to ``lone`` words, others up to ``longest`` words if it is given. One that
+    touches the first or last row of an Arrow batch may go on in another and has ``edge``. Rows without ``n`` are
+    suffixes that share all words of this level and go on to the next one. Beyond the first level ``key`` begins
+    with a digest that counts as no word, and ``record`` and ``pos`` tell where the n-gram stands.
     """
-    names = [f"w{k + 1}" for k in range(depth)]
+    head, base = min(level, 1), level * BLOCK
+    names = ["n", "key", "occurrences", "records", "edge", "record", "pos", "dup"]
+    kind = ordered.schema["record"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            m = batch.num_rows
+            if not m:
                 continue
-            cols = [batch.column(c) for c in names]
+            lists = pc.split_pattern(batch.column("s"), " ")
+            flat, begin = lists.flatten(), lists.offsets.to_numpy()[:m].astype(np.int64)
+            size = np.diff(lists.offsets.to_numpy())
+            code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             dup = batch.column("dup").to_numpy(zero_copy_only=False)
-            prefix = np.ones(n, bool)  # common prefix with the row before of at least the depth
-            for d in range(1, depth + 1):
-                c = cols[d - 1]
-                equal = np.zeros(n, bool)
-                equal[1:] = pc.fill_null(pc.equal(c.slice(1), c.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-                prefix &= equal
-                there = pc.is_valid(c).to_numpy(zero_copy_only=False)
-                at = np.flatnonzero(there)
-                if not len(at):
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            goes_on = batch.column("pos").is_valid().to_numpy(zero_copy_only=False)
+            alive, run = np.arange(m), np.zeros(m, np.int64)
+            given: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            further = np.zeros(0, np.int64)
+            d = 0
+            while len(alive) and (longest is None or d - head + base < longest):
+                d += 1
+                n = d - head + base
+                there = size[alive] >= d
+                alive, run = alive[there], run[there]
+                if not len(alive):
                     break
-                begins = np.flatnonzero(~prefix[at])
-                first = at[begins]
-                m = len(first)
-                occurrences = np.diff(np.append(begins, len(at)))
-                records = np.add.reduceat((dup[at] < d).astype(np.int64), begins)
-                pool = pa.concat_arrays([x.take(pa.array(first)) for x in cols[:d]])
-                values = pool.take(pa.array((np.arange(m)[:, None] + m * np.arange(d)[None, :]).ravel()))
-                words = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * d, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, d), pa.int32()), words, pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], ["n", "words", "occurrences", "records"])
-
-    parts = ordered.select(*names, "dup").mapInArrow(scan, "n int, words array<string>, occurrences bigint, records bigint")
-    return parts.groupBy("n", "words").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-
-
-def whole_suffixes(rows: DataFrame, record: str, toks: Column) -> DataFrame:
-    """One row per word position: ``record``, ``s``, the words to the record's end joined by blanks, and ``dup`` as above.
-
-    A blank sorts before every character of a word, so the suffixes that begin with an n-gram stay together.
-    """
+                word = code[begin[alive] + d - 1]
+                new = np.ones(len(alive), bool)
+                new[1:] = (run[1:] != run[:-1]) | (word[1:] != word[:-1])
+                starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+                if d <= head:
+                    continue
+                occurrences = np.add.reduceat(weight[alive], starts)
+                records = np.add.reduceat(np.where(dup[alive] < n, weight[alive], 0), starts)
+                last = np.append(starts[1:], len(alive)) - 1
+                edge = (alive[starts] == 0) | (alive[last] == m - 1)
+                shown = (records >= 2) | edge | (n <= lone)
+                given.append((n, alive[starts[shown]], occurrences[shown], records[shown], edge[shown]))
+                kept = ((records >= 2) | edge | (n < lone))[run]
+                if d == BLOCK + head:
+                    further, cut_off = alive[kept & goes_on[alive]], edge[run][kept & goes_on[alive]]
+                alive, run = alive[kept], run[kept]
+            if given:
+                n = np.concatenate([np.full(len(x[1]), x[0]) for x in given])
+                first = np.concatenate([x[1] for x in given])
+                long = n - base + head
+                ends = np.cumsum(long)
+                words = flat.take(pa.array(np.arange(ends[-1]) - np.repeat(ends - long, long) + np.repeat(begin[first], long)))
+                keys = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), words), " ")
+                at = pa.array(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(n, pa.int32()), keys, *[pa.array(np.concatenate([x[i] for x in given]), t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.bool_()))], batch.column("record").take(at), batch.column("pos").take(at), batch.column("dup").take(at)], names
+                )
+            if len(further):
+                at = pa.array(further)
+                none = lambda t: pa.nulls(len(further), t)
+                yield pa.RecordBatch.from_arrays([none(pa.int32()), batch.column("s").take(at), none(pa.int64()), none(pa.int64()), pa.array(cut_off), batch.column("record").take(at), batch.column("pos").take(at), batch.column("dup").take(at)], names)
+
+    return ordered.select("s", "dup", "weight", "record", "pos").mapInArrow(scan, f"n int, key string, occurrences bigint, records bigint, edge boolean, record {kind}, pos int, dup int")
+
+
+def next_level(onward: DataFrame, rows: DataFrame, record: str, toks: Column, level: int, parts: int) -> DataFrame:
+    """Suffixes that share all words so far, by their next block. ``pos`` stays the suffix' own place."""
     kind = rows.schema[record].dataType.simpleString()
+    # A record has at most as many of them as words.
+    mine = onward.groupBy("record").agg(F.collect_list(F.struct("pos", "dup", "key")).alias("on"))
+    met = mine.join(rows.select(F.col(record).alias("record"), toks.alias("toks")), "record")
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            record_at, texts, dups = [], [], []
-            for i, words in enumerate(batch.column("toks").to_pylist()):
-                last = None
-                for s in sorted(words[k:] for k in range(len(words))):
-                    record_at.append(i)
-                    texts.append(" ".join(s))
-                    dups.append(_common(last, s) if last else 0)
-                    last = s
-            yield pa.RecordBatch.from_arrays([batch.column("record").take(pa.array(record_at, pa.int64())), pa.array(texts, pa.string()), pa.array(dups, pa.int32())], ["record", "s", "dup"])
-
-    return rows.select(F.col(record).alias("record"), toks.alias("toks")).where(F.size("toks") > 0).mapInArrow(cut_up, f"record {kind}, s string, dup int")
+            out = []
+            for i, (on, words) in enumerate(zip(batch.column("on").to_pylist(), batch.column("toks").to_pylist())):
+                for x in on:
+                    at = x["pos"] + BLOCK * level
+                    head = hashlib.blake2b(x["key"].encode(), digest_size=16).hexdigest()
+                    out.append((" ".join([head, *words[at : at + BLOCK]]), x["dup"], i, x["pos"]))
+            s, dup, row, pos = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(dup, pa.int32()), pa.array([1] * len(out), pa.int64()), batch.column("record").take(pa.array(row, pa.int64())), pa.array(pos, pa.int32())], ["s", "dup", "weight", "record", "pos"])
 
+    made = met.select("record", "on", "toks").mapInArrow(make, f"s string, dup int, weight bigint, record {kind}, pos int")
+    return made.repartitionByRange(parts, "s", "record", "pos").sortWithinPartitions("s")
 
-def _common(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
 
+def ngrams(rows: DataFrame, record: str, toks: Column, lone: int = 0, longest: int | None = None) -> DataFrame:
+    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length: those of two records or more, and of one up to ``lone`` words.
 
-def all_intervals(suf: DataFrame) -> DataFrame:
-    """``n``, ``ngram``, ``occurrences``, ``records`` of the n-grams of every length found in two records or more.
-
-    Suffixes are sorted over all partitions; a scan keeps the n-grams that the last suffix shares with those before it open
-    and gives each when it ends. One that a partition's edge may cut comes out in parts, which are added up.
+    ``longest`` leaves out longer ones of the result; suffixes are whole all the same. Records must have distinct keys.
     """
-    ordered = suf.repartitionByRange("s", "record").sortWithinPartitions("s", "record").select("s", "dup")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[str] = []
-        last_dup, edge = 0, 0  # edge: how many words of the partition's first suffix are still shared
-        occurrences: list[int] = []
-        records: list[int] = []
-        out: list[tuple[int, str, int, int]] = []
-
-        def close(down_to: int) -> None:
-            for d in range(len(occurrences), down_to, -1):
-                o, r = occurrences.pop(), records.pop()
-                if r > 1 or d <= edge:
-                    out.append((d, " ".join(last[:d]), o, r))
-
-        def open_to(up_to: int) -> None:
-            for d in range(len(occurrences) + 1, up_to + 1):
-                occurrences.append(1)
-                records.append(int(last_dup < d))
-
-        def batch_of() -> pa.RecordBatch:
-            n, ngram, o, r = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(ngram, pa.string()), pa.array(o, pa.int64()), pa.array(r, pa.int64())], ["n", "ngram", "occurrences", "records"])
-
-        for batch in batches:
-            for s, dup in zip(batch.column("s").to_pylist(), batch.column("dup").to_pylist()):
-                words = s.split(" ")
-                if last:
-                    shared = _common(last, words)
-                    open_to(shared)
-                    close(shared)
-                    edge = min(edge, shared)
-                    for d in range(shared):
-                        occurrences[d] += 1
-                        records[d] += dup <= d
-                    last, last_dup = words, dup
-                else:
-                    last, last_dup, edge = words, dup, len(words)
-                    open_to(edge)
-            if out:
-                yield batch_of()
-        open_to(len(last))
-        edge = len(last)
-        close(0)
-        if out:
-            yield batch_of()
-
-    parts = ordered.mapInArrow(scan, "n int, ngram string, occurrences bigint, records bigint")
-    return parts.groupBy("n", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records >= 2")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level, out = 0, None
+    ordered = sorted_suffixes(rows, record, toks, borders(rows, record, toks, parts))
+    while True:
+        found = prefix_intervals(ordered, level, lone, longest)
+        ends_here = longest is not None and longest < BLOCK * (level + 1)
+        if not ends_here:
+            found = cut(found)
+        grams = found.where("n IS NOT NULL")
+        if ends_here:
+            grams = cut(grams)
+        # Only intervals at the edge of a batch can have further parts.
+        parted = grams.where("edge").groupBy("n", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.min(F.struct("pos", "record")).alias("at"))
+        each = grams.where("NOT edge").select("n", "key", "occurrences", "records", F.struct("pos", "record").alias("at")).unionByName(parted).where(f"records >= 2 OR n <= {lone}")
+        if level:
+            words = rows.select(F.col(record).alias("record"), toks.alias("toks"))
+            each = each.select("n", "occurrences", "records", "at.record", "at.pos").join(words, "record").select("n", F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ").alias("key"), "occurrences", "records")
+        each = each.select("n", F.col("key").alias("ngram"), "occurrences", "records")
+        out = each if out is None else out.unionByName(each)
+        if ends_here:
+            return out
+        # Suffixes of a cut interval go on if all its parts together have two records.
+        level += 1
+        shared = parted.where((F.col("n") == BLOCK * level) & (F.col("records") >= 2)).select("key")
+        onward = cut(found.where("n IS NULL AND NOT edge").unionByName(found.where("n IS NULL AND edge").join(shared, "key", "left_semi").select(*found.columns)))
+        if onward.isEmpty():
+            return out
+        ordered = next_level(onward, rows, record, toks, level, parts)

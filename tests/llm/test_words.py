@@ -11,6 +11,7 @@ from corpusloom.llm import distinctive as D
 from corpusloom.llm import frequencies as Q
 from corpusloom.llm import lookalikes as L
 from corpusloom.llm import overlaps as O
+from corpusloom.llm import suffixes as X
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -66,24 +67,52 @@ def prompts(spark):
 @pytest.mark.parametrize("parts", [1, 13])
 def test_ngram_counts_against_brute_force(spark, prompts, parts):
     rows, df = prompts
+    long = " ".join(f"w{i * i % 37}" for i in range(90))
+    rows = [r for r in rows if r[0] != 999] + [(1000 + i, "goal", t, "clash") for i, t in enumerate([long, "so " + long, long[:-4], " ".join(["a b"] * 70), "x " + " ".join(["a b"] * 50), "?!", ""])]
+    df = spark.createDataFrame(rows, "row_no long, label string, text string, n string").repartition(5)
+    occ, rec = collections.Counter(), collections.Counter()
+    for _, _, t, _ in rows:
+        w = _tokens(t or "")
+        grams = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        occ.update(grams)
+        rec.update(set(grams))
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = {tuple(r["words"]): (r["occurrences"], r["records"]) for r in Q.ngram_counts(df, "row_no").collect()}
-        occ, rec = collections.Counter(), collections.Counter()
-        for _, _, t, _ in rows:
-            w = _tokens(t or "")
-            grams = [tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-            occ.update(grams)
-            rec.update(set(grams))
-        assert got == {g: (occ[g], rec[g]) for g in occ}
+        for lone, longest in ((0, None), (1, 1), (3, 70)):
+            got = [tuple(r) for r in Q.ngram_counts(df, "row_no", lone=lone, longest=longest).collect()]
+            want = {(len(g.split()), g, occ[g], n) for g, n in rec.items() if (n >= 2 or len(g.split()) <= lone) and (longest is None or len(g.split()) <= longest)}
+            assert len(got) == len(want) and set(got) == want
+        assert max(n for n, *_ in want) > 64
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
-    marks = {r["words"][0]: r["mark"] for r in Q.marked_counts(df, "row_no").where("n = 1").collect()}
+    marks = {r["term"]: r["mark"] for r in Q.marked_words(df, "row_no").collect()}
     total = sum(t is not None for _, _, t, _ in rows)
-    assert marks == {g[0]: "rare" if n == 1 else "common" if n > 0.05 * total else None for g, n in rec.items() if len(g) == 1}
+    assert marks == {g: "rare" if n == 1 else "common" if n > 0.05 * total else None for g, n in rec.items() if " " not in g}
     assert Q.ngram_counts(df.limit(0), "row_no").count() == 0
 
 
+def test_a_very_long_text_stays_linear(spark):
+    words = [f"w{i % 1000}" if i % 7 else "the" for i in range(60_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "the w1 w2")], "row_no int, text string")
+    got = {r["ngram"]: (r["occurrences"], r["records"]) for r in Q.ngram_counts(df, "row_no").collect()}
+    assert got == {g: (occ, 2) for g, occ in ((g, _count(words, g.split()) + 1) for g in ("the", "w1", "w2", "the w1", "w1 w2", "the w1 w2"))}
+
+
+def _count(words, gram):
+    return sum(words[i : i + len(gram)] == gram for i in range(len(words)))
+
+
+def test_own_order_of_long_records():
+    rng = random.Random(9)
+    for n in (1, 64, 65, 300):
+        words = [rng.choice("ab") for _ in range(n)]
+        order, shared = X.own_order(words)
+        assert [words[k:] for k in order] == sorted(words[k:] for k in range(n))
+        for t in range(1, n):
+            a, b = words[order[t - 1] :], words[order[t] :]
+            assert shared[t] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_scores_against_the_formula(spark, prompts):
     rows, df = prompts
     counts = D.word_counts(df, ["row_no", "label"], "text", "v1")
@@ -135,22 +164,44 @@ def test_overlaps_against_brute_force(spark):
 @pytest.mark.parametrize("parts", [1, 40])
 def test_coverage_against_brute_force(spark, parts):
     rng = random.Random(13)
-    rows = [(i, rng.choice(["train", "id-test", None]), " ".join(rng.choice(["a", "b", "c"]) for _ in range(rng.choice([0, 4, 5, 9, 60])))) for i in range(120)] + [(500, "train", "a " * 3000), (501, "id-test", "a " * 3000), (502, "id-test", None)]
+    rows = [(i, rng.choice(["train", "id-test", None]), " ".join(rng.choice(["a", "b", "c"]) for _ in range(rng.choice([0, 2, 4, 5, 9, 60])))) for i in range(160)]
+    rows += [(500, "train", "a " * 3000), (501, "id-test", "a " * 3000), (502, "id-test", None), (503, "id-test", "zz"), (504, "train", "x zz y"), (505, "id-test", "zz q"), (506, "id-test", "n1 n2 n3 n4 n5 n6")]
     df = spark.createDataFrame(rows, "row_no long, split_name string, text string")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = {r["row_no"]: (r["n_words"], r["covered"]) for r in O.shared_coverage(df).collect()}
+        got = {r["row_no"]: (r["n_words"], r["covered"], r["spans"]) for r in O.shared_coverage(df).collect()}
+        assert O.shared_coverage(df.limit(0)).count() == 0
+        assert {r["covered"] for r in O.shared_coverage(df.where("split_name = 'id-test'")).collect()} == {0}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    seen = {tuple(w[i : i + 5]) for _, s, t in rows if s == "train" and t for w in [t.split()] for i in range(len(w) - 4)}
+    seen = {tuple(w[i : i + n]) for _, s, t in rows if s == "train" and t for w in [t.split()] for n in range(1, 6) for i in range(len(w) - n + 1)}
     want = {}
     for r, s, t in rows:
         w = (t or "").split()
-        if s == "id-test" and len(w) >= 5:
-            want[r] = (len(w), len({j for i in range(len(w) - 4) if tuple(w[i : i + 5]) in seen for j in range(i, i + 5)}))
-    assert got == want
+        if s == "id-test" and t is not None:
+            need = min(5, len(w))
+            hits = [i for i in range(len(w) - need + 1) if need and tuple(w[i : i + need]) in seen]
+            covered = sorted({j for i in hits for j in range(i, i + need)})
+            # Spans that touch are told apart by the place where no shared one goes across.
+            want[r] = len(w), len(covered)
+    assert {k: v[:2] for k, v in got.items()} == want
+    assert got[501][2] == 1 and got[503][1:] == (1, 1) and got[505][1:] == (0, 0)
+
+
+def test_report_multiplies_copies(spark):
+    rows = [(i, "train", "g", "one two three") for i in range(40)] + [(100 + i, "id-test", " G" if i % 2 else "h", ["three two one", "one two three four", "other"][i % 3]) for i in range(60)] + [(900, None, "g", "one two three"), (901, "id-test", None, "one two three")]
+    df = spark.createDataFrame(rows, "row_no long, split_name string, group_id string, text string")
+    by = {"split_name": F.col("split_name"), "group_id": F.lower(F.btrim("group_id", F.lit(" ")))}
+    got = {(r["split_name"], r["group_id"]): (r["n_rows"], r["links"]) for r in O.overlap_report(df, by).collect()}
+    pairs = collections.Counter(r["other_row"] for r in O.split_overlaps(df).collect())
+    want = {}
+    for i, s, g, _ in rows:
+        if i in pairs:
+            k = s, g and g.strip(" ").lower()
+            want[k] = want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + pairs[i]
+    assert got == want and got["id-test", None] == (1, 40)
 
 
 def test_the_reason_for_prefixes_holds():
@@ -164,3 +215,9 @@ def test_the_reason_for_prefixes_holds():
                 if 10 * shared >= 7 * (n + m - shared):
                     assert shared >= least
     assert re and F
+
+
+def test_unstable_letters_in_the_fast_range(spark):
+    texts = [f"a{chr(c)}b" for c in (*range(0x20, 0x7F), *range(0xC0, 0x180))]
+    got = L.consistent_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["text"]: r["form"] for r in got} == {t: L.consistent_form(t) for t in texts}
