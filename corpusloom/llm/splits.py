@@ -1,10 +1,12 @@
 """Splits of given proportions that never part rows sharing an entity.
 
-1. Entities named together by a row are linked; the components come from hooking and shortcutting a
-   parent table until no edge between different parents is left.
-2. Components are counted by size. Every size is first shared out in proportion; the few components
-   left over of each size go, largest first, to the split whose missing rows they fill best, found
-   with bitsets of reachable sums over the sizes and their multiplicities.
+1. Keys as written are nodes. A written key is linked to its plain form, and entities named together by a row are
+   linked; the components come from hooking and shortcutting a parent table until no edge between different parents
+   is left. What is said of an entity is counted over its component's nodes.
+2. Components are counted by size. Every size is first shared out in proportion; the few components left over of each
+   size go, largest first, to the splits whose missing rows they fill best, found with bitsets of reachable sums over
+   the sizes. Sums are exact: a bitset takes as many components as its ``BITS`` rows hold, so the smallest ones, which
+   settle the difference that is left, always meet the exact rest.
 3. Components of one size are ranked by hash and take the splits of their size in that order.
 
 Defined results: a row without any key stands alone; keys differing in case or blanks at the ends
@@ -23,8 +25,9 @@ from ..operators.checkpoints import cut
 from ..operators.joins import lookup_join
 
 RANK_BUCKETS = 4096
-HEAVY_SHARE = 1000  # components with more than one in so many rows are joined by broadcast; there can be no more of them than this
-BLOCK, BITS = 256, 1 << 22
+HEAVY_SHARE = 1000  # keys with more than one in so many rows are joined by broadcast, components of that size placed one by one; there can be no more of either than this
+BLOCK, BITS = 256, 1 << 22  # components and rows that one bitset takes
+SEP, ALONE = "\x1f", "\x1e"  # between a table and a key; before a row without one
 
 
 def entity_key(c: Column | str) -> Column:
@@ -57,34 +60,44 @@ def closest_subset(sizes: list[int], goal: int) -> list[int]:
     """Places of the sizes whose sum is closest to ``goal`` (the smaller sum on a tie), by reachable-sum bitsets."""
     if goal <= 0 or not sizes:
         return []
-    unit = max(1, math.ceil(sum(sizes) / BITS))
-    steps = [max(1, round(s / unit)) for s in sizes]
     reached, after = 1, [1]
-    for s in steps:
+    for s in sizes:
         reached |= reached << s
         after.append(reached)
-    want = round(goal / unit)
-    below = reached & ((1 << (want + 1)) - 1)
+    below = reached & ((1 << (goal + 1)) - 1)
     best = below.bit_length() - 1
-    above = reached >> (want + 1)
+    above = reached >> (goal + 1)
     if above:
-        up = want + 1 + (above & -above).bit_length() - 1
-        if up - want < want - best:
+        up = goal + 1 + (above & -above).bit_length() - 1
+        if up - goal < goal - best:
             best = up
     chosen = []
-    for i in range(len(steps) - 1, -1, -1):
+    for i in range(len(sizes) - 1, -1, -1):
         if not after[i] >> best & 1:
             chosen.append(i)
-            best -= steps[i]
+            best -= sizes[i]
     return chosen
 
 
+def blocks(sizes: list[int]) -> list[list[int]]:
+    """Sizes in falling order, in blocks of ``BLOCK`` at most whose sum fits one exact bitset; one too large for that is alone."""
+    out: list[list[int]] = []
+    total = 0
+    for s in sizes:
+        if not out or len(out[-1]) == BLOCK or total + s > BITS:
+            out.append([])
+            total = 0
+        out[-1].append(s)
+        total += s
+    return out
+
+
 def share_out(counts: Mapping[int, int], shares: Mapping[str, float]) -> dict[int, list[tuple[str, int]]]:
     """For every size how many of its components each split takes.
 
     Components of a thousandth of all rows or more (a thousand at most) go one by one to the split that
     misses most. The others are shared out in proportion to what is then missing; the few left over of each
-    size are placed with reachable-sum bitsets, in blocks of the largest first.
+    size are placed with reachable-sum bitsets, the largest first.
     """
     total, norm = sum(s * n for s, n in counts.items()), sum(shares.values())
     names = sorted(shares, key=lambda k: (-shares[k], k))
@@ -106,10 +119,11 @@ def share_out(counts: Mapping[int, int], shares: Mapping[str, float]) -> dict[in
         for k in names:
             give(k, s, math.floor(counts[s] * want[k] / of + 1e-9))
         left += [s] * (counts[s] - sum(taken[s].values()))
-    for at in range(0, len(left), BLOCK):
-        block, later = left[at : at + BLOCK], sum(left[at + BLOCK :])
-        part = sum(block) / (sum(block) + later)
-        for k in sorted(names, key=lambda k: (-missing[k], k))[:-1]:
+    later = sum(left)
+    for block in blocks(left):
+        part = sum(block) / later
+        later -= sum(block)
+        for k in sorted(names, key=lambda k: (-missing[k], k))[:-1] if sum(block) <= BITS else []:
             for i in sorted(closest_subset(block, round(missing[k] * part)), reverse=True):
                 give(k, block.pop(i))
         for s in block:
@@ -118,36 +132,41 @@ def share_out(counts: Mapping[int, int], shares: Mapping[str, float]) -> dict[in
 
 
 def keyed_rows(tables: Mapping[str, tuple[DataFrame, str, list[str], str]]) -> DataFrame:
-    """``table_name``, ``row``, ``keys`` (its entities), ``stored`` of all tables; each is (rows, id, key columns, stored split)."""
+    """``table_name``, ``row``, ``keys`` (nodes of its entities, as written), ``stored`` of all tables; each is (rows, id, key columns, stored split)."""
     out = None
     for name, (rows, row, keys, stored) in tables.items():
-        entities = F.filter(F.array(*[F.when(entity_key(k).isNotNull(), F.concat(F.lit(f"{name}\x1f"), entity_key(k))) for k in keys]), lambda e: e.isNotNull())
+        entities = F.filter(F.array(*[F.concat(F.lit(name + SEP), F.col(k).cast("string")) for k in keys]), lambda e: e.isNotNull())
         one = rows.select(F.lit(name).alias("table_name"), F.col(row).alias("row"), entities.alias("keys"), F.col(stored).alias("stored"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def entity_components(rows: DataFrame, linked: bool) -> DataFrame:
-    """``node``, ``component``. Without rows that name several entities (``linked``) there are no edges."""
-    nodes = rows.select(F.explode("keys").alias("node")).distinct()
-    if not linked:
-        return nodes.select("node", F.col("node").alias("component"))
-    pairs = rows.where(F.size("keys") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda i: F.struct(F.get("keys", i - 1).alias("a"), F.get("keys", i).alias("b")))).alias("e")).select("e.*").distinct()
-    return components(nodes, pairs)
+def plain(node: Column) -> Column:
+    """The node of a written key's plain form."""
+    at = F.instr(node, SEP)
+    return F.concat(F.substring(node, F.lit(1), at), entity_key(F.substr(node, at + 1)))
+
+
+def entity_components(rows: DataFrame) -> DataFrame:
+    """``node``, ``component`` of every written key: linked to its plain form, and to the keys of the rows that name it."""
+    written = cut(rows.groupBy("keys").agg(F.lit(1).alias("x")).where(F.size("keys") > 0).select("keys"))
+    node = written.select(F.explode("keys").alias("node")).distinct()
+    forms = node.select(F.col("node").alias("a"), plain(F.col("node")).alias("b"))
+    together = F.transform(F.sequence(F.lit(2), F.size("keys")), lambda i: F.struct(F.get("keys", i - 2).alias("a"), F.get("keys", i - 1).alias("b")))
+    pairs = written.where(F.size("keys") > 1).select(F.explode(together).alias("e")).select("e.*")
+    nodes = node.unionByName(forms.select(F.col("b").alias("node"))).distinct()
+    return components(nodes, forms.where("a <> b").unionByName(pairs))
 
 
 def grouped_splits(tables: Mapping[str, tuple[DataFrame, str, list[str], str]], shares: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
     """(rows: ``table_name``, ``row``, ``split_name``; entities: ``table_name``, ``entity_key``, ``component``, ``n_rows``, ``stored_ways``, ``split_name``)."""
     rows = keyed_rows(tables)
-    linked = any(len(keys) > 1 for _, _, keys, _ in tables.values())
-    # One row per distinct entity and stored split first: a family with a third of all rows is a few rows here.
-    counted = rows.where(F.size("keys") > 0).groupBy(F.get("keys", F.lit(0)).alias("node"), "stored").agg(F.count(F.lit(1)).alias("n"))
+    first = F.get("keys", F.lit(0))
+    # One row per distinct set of keys and stored split first: a family with a third of all rows is a few rows here.
+    counted = cut(rows.where(F.size("keys") > 0).groupBy("keys", "stored").agg(F.count(F.lit(1)).alias("n")))
     alone = rows.where(F.size("keys") == 0)
-    if linked:
-        member = entity_components(rows, True)
-        component = counted.join(member, "node").groupBy("component").agg(F.sum("n").alias("n_rows"))
-    else:
-        component = counted.groupBy(F.col("node").alias("component")).agg(F.sum("n").alias("n_rows"))
+    member = entity_components(counted)
+    component = counted.withColumn("node", first).join(member, "node").groupBy("component").agg(F.sum("n").alias("n_rows"))
     by_size = component.groupBy("n_rows").count()
     # Distinct sizes that add up to N rows: at most sqrt(2 N) of them.
     counts = {r["n_rows"]: r["count"] for r in by_size.collect()}
@@ -160,7 +179,8 @@ def grouped_splits(tables: Mapping[str, tuple[DataFrame, str, list[str], str]],
     cuts = [(s, [k for k, _ in q], [sum(n for _, n in q[: i + 1]) for i in range(len(q))]) for s, q in quota.items()]
     table = spark.createDataFrame(cuts, "n_rows bigint, names array<string>, upto array<bigint>")
 
-    every = component.select("component", "n_rows").unionByName(alone.select(F.concat(F.lit("\x1e"), "table_name", F.lit("\x1f"), F.col("row").cast("string")).alias("component"), F.lit(1).cast("bigint").alias("n_rows")))
+    by_itself = F.concat(F.lit(ALONE), "table_name", F.lit(SEP), F.col("row").cast("string"))
+    every = component.select("component", "n_rows").unionByName(alone.select(by_itself.alias("component"), F.lit(1).cast("bigint").alias("n_rows")))
     bucketed = every.withColumn("h", F.xxhash64("component")).withColumn("bucket", F.pmod("h", F.lit(RANK_BUCKETS)))
     per_bucket = bucketed.groupBy("n_rows", "bucket").agg(F.count(F.lit(1)).alias("m"))
     offset = per_bucket.select("n_rows", "bucket", (F.sum("m").over(Window.partitionBy("n_rows").orderBy("bucket")) - F.col("m")).alias("before"))
@@ -168,14 +188,16 @@ def grouped_splits(tables: Mapping[str, tuple[DataFrame, str, list[str], str]],
     ranked = bucketed.join(offset, ["n_rows", "bucket"]).select("component", "n_rows", rank.alias("rank")).join(F.broadcast(table), "n_rows")
     assigned = ranked.select("component", "n_rows", F.get("names", F.array_position(F.transform("upto", lambda u: u >= F.col("rank")), F.lit(True)).cast("int") - 1).alias("split_name"))
 
-    names = F.split(F.col("node"), "\x1f")
-    per_node = counted.groupBy("node").agg(F.count_distinct("stored").alias("stored_ways"))
-    per_node = per_node.join(member, "node") if linked else per_node.withColumn("component", F.col("node"))
-    entities = per_node.join(assigned, "component").select(F.get(names, F.lit(0)).alias("table_name"), F.array_join(F.slice(names, 2, 1 << 20), "\x1f").alias("entity_key"), "component", "n_rows", "stored_ways", "split_name")
+    # An entity's written keys meet in its component.
+    named = counted.select(F.explode("keys").alias("node"), "stored").distinct().join(member, "node")
+    entity = named.groupBy("component", plain(F.col("node")).alias("node")).agg(F.count_distinct("stored").alias("stored_ways"))
+    at = F.instr("node", SEP)
+    entities = entity.join(assigned, "component").select(F.substring("node", F.lit(1), at - 1).alias("table_name"), F.substr("node", at + 1).alias("entity_key"), "component", "n_rows", "stored_ways", "split_name")
 
-    by_row = rows.select("table_name", "row", F.coalesce(F.get("keys", F.lit(0)), F.concat(F.lit("\x1e"), "table_name", F.lit("\x1f"), F.col("row").cast("string"))).alias("node"))
-    lookup = (per_node.select("node", "component").join(assigned, "component").select("node", "n_rows", "split_name")).unionByName(assigned.where(F.col("component").startswith("\x1e")).select(F.col("component").alias("node"), "n_rows", "split_name"))
-    split_rows = lookup_join(by_row, lookup, "node", F.col("n_rows") * HEAVY_SHARE > F.lit(max(total, 1)), F.xxhash64("row")).select("table_name", "row", "split_name")
+    by_row = rows.select("table_name", "row", F.coalesce(first, by_itself).alias("node"))
+    found_by = counted.groupBy(first.alias("node")).agg(F.sum("n").alias("n"))
+    lookup = found_by.join(member, "node").join(assigned, "component").select("node", "n", "split_name").unionByName(assigned.where(F.col("component").startswith(ALONE)).select(F.col("component").alias("node"), F.lit(1).cast("bigint").alias("n"), "split_name"))
+    split_rows = lookup_join(by_row, lookup, "node", F.col("n") * HEAVY_SHARE > F.lit(max(total, 1)), F.xxhash64("row")).select("table_name", "row", "split_name")
     return split_rows, entities
 
 
@@ -186,6 +208,7 @@ def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, as their components show, whose rows were stored in more than one split."""
     return _splits(spark, d)[1].where("stored_ways > 1").select("table_name", "entity_key")
 
 

@@ -37,6 +37,20 @@ def test_closest_subset_is_optimal():
         assert abs(sum(sizes[i] for i in P.closest_subset(sizes, goal)) - goal) == best
 
 
+def test_sums_are_exact_at_any_size():
+    sizes = sorted((random.Random(3).randint(1, 3_000_000) for _ in range(40)), reverse=True)
+    assert [s for b in P.blocks(sizes) for s in b] == sizes and all(sum(b) <= P.BITS or len(b) == 1 for b in P.blocks(sizes))
+    counts = {5_000_003: 2, 1_000_001: 7, 77_777: 11, 13: 400, 1: 3000}
+    quota = P.share_out(counts, SHARES)
+    total = sum(s * n for s, n in counts.items())
+    had = collections.Counter()
+    for s, parts in quota.items():
+        assert sum(k for _, k in parts) == counts[s]
+        for name, k in parts:
+            had[name] += s * k
+    assert sum(had.values()) == total
+
+
 @pytest.mark.parametrize("counts", [{1: 1000, 3: 500, 7: 300, 30: 20, 400: 1}, {33333: 1, 1: 60000, 2: 3000}, {7: 2000}, {1: 3}, {5: 1}, {i: 1 for i in range(1, 400)}, {}])
 def test_shares_are_met(counts):
     quota = P.share_out(counts, SHARES)
