@@ -1,6 +1,6 @@
 """Mixing sources to target shares of the tokens, by balanced (cube) sampling.
 
-A source that must give ``r`` times its tokens gives every document ``floor(r)`` times and a balanced
+A source that must give ``r`` times its tokens (as often as it may at most) gives every document ``floor(r)`` times and a balanced
 sample of them once more, each with probability ``r - floor(r)``. The flight phase of the cube
 method moves these probabilities along the null space of two constraints, the source's tokens and its
 number of documents, three documents at a time, until at most two in a block are undecided; blocks'
@@ -19,7 +19,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import cut
@@ -82,12 +82,11 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: s
     plan = []
     for name, (share, most) in sorted(goals.items()):
         tokens, n = had.get(name, (0, 0))
-        short = tokens * most < share * total
-        ratio = float(most) if short else share * total / tokens if tokens else 0.0
+        ratio = min(float(most), share * total / tokens) if tokens else 0.0
         base = min(int(ratio + EPS), most)
-        plan.append((name, share, most, tokens, n, short, base, 0.0 if base >= most else max(0.0, ratio - base), max(1, -(-n // block_docs))))
+        plan.append((name, share, most, tokens, n, base, 0.0 if base >= most else max(0.0, ratio - base), max(1, -(-n // block_docs))))
     spark = documents.sparkSession
-    table = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, tokens bigint, n_docs bigint, short boolean, base int, rest double, blocks bigint")
+    table = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, tokens bigint, n_docs bigint, base int, rest double, blocks bigint")
 
     start = listed.join(F.broadcast(table.select("source", "base", "rest", "blocks")), "source").select("k", "source", "t", "base", F.col("rest").alias("p"), F.xxhash64("k").alias("h"), "blocks")
     schema = f"k {documents.schema[key].dataType.simpleString()}, source string, t bigint, base int, p double, h bigint, level int"
@@ -119,11 +118,14 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: s
     for part in decided:
         flown = flown.unionByName(part)
     copies = flown.select(F.col("k").alias(key), "source", F.col("t").alias("n_tokens"), (F.col("base") + F.round("p").cast("int")).alias("copies"))
-    got = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got_tokens"), F.sum("copies").alias("got_docs"))
+    got = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got_tokens"), F.sum("copies").alias("got_docs"), F.min("copies").alias("least"), F.max("copies").alias("most"))
+    # Short is a source that gives all it may, every document as often as allowed, and still less than its share.
+    short = F.coalesce(F.col("least") >= F.col("max_repeats"), F.lit(True)) & (F.coalesce(F.col("got_tokens"), F.lit(0)) < F.col("target_share") * F.lit(float(total)))
     whole = got.agg(F.sum("got_tokens").alias("all_tokens"))
     report = table.join(got, "source", "left").join(F.broadcast(whole), how="cross").select(
-        "source", "target_share", "max_repeats", F.col("tokens").alias("source_tokens"), "short",
+        "source", "target_share", "max_repeats", F.col("tokens").alias("source_tokens"), short.alias("short"),
         F.coalesce("got_tokens", F.lit(0)).alias("got_tokens"), F.coalesce("got_docs", F.lit(0)).alias("got_docs"),
+        F.coalesce("most", F.lit(0)).alias("most_copies"),
         F.round(F.coalesce(F.col("got_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"),
         F.round(F.coalesce(F.col("got_tokens"), F.lit(0)) / F.lit(float(max(total, 1))), 6).alias("share_of_goal"),
     )
@@ -140,7 +142,20 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Per listed source: what it should give, gives, and the share reached."""
-    return _mix(spark, d)[1]
+    return _mix(spark, d)[1].drop("most_copies")
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mix, per listed source: its tokens, whether it is short, what it gives if so, and whether repeats and shares keep their bounds.
+
+    A source that isn't short may be off its share by the documents that the landing decides: two at most, each of no
+    more tokens than the largest.
+    """
+    copies, report = _mix(spark, d)
+    largest = copies.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    total = F.sum("source_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
+    rows = report.select("*", total.alias("total")).join(largest, "source", "left")
+    return rows.select("source", "source_tokens", "short", F.when(F.col("short"), F.col("got_tokens")).alias("short_tokens"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), (F.col("short") | (F.abs(F.col("got_tokens") - F.col("target_share") * F.col("total")) <= F.coalesce("largest", F.lit(0)) + 1)).alias("within_share"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

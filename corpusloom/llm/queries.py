@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.inputs import nfkc_sql, tokens_sql
+from ..plans.inputs import WS, nfkc_sql, tokens_sql
 from . import distinctive, frequencies, lookalikes, mixing, overlaps, packing, sentences, splits
 
 MODULES = (lookalikes, frequencies, splits, distinctive, overlaps, packing, mixing, sentences)
@@ -27,6 +27,13 @@ TOKENS = "coalesce(n_tokens, octet_length(encode(text)) + 1)"
 SEVEN = "('greeting', 'feeling', 'reason', 'ownership', 'question', 'goal', 'observation')"
 KEYED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, lower(trim({k}, ' ')) AS entity_key, split_name FROM {t}" for t, k in (("grouped_examples", "group_id"), ("ood_test_v3", "family_id"), ("contrast_test_v3", "pair_id")))
 
+MIXED = f"WITH t AS (SELECT m.source, target_share, max_repeats, coalesce(sum({TOKENS}), 0) AS k FROM mix_targets m LEFT JOIN documents USING (source) GROUP BY ALL)"
+_V3 = tokens_sql(nfkc_sql("text"))
+COVERAGE = f"""WITH k AS (SELECT row_no, split_name = 'train' AS tr, {_V3} AS t FROM grouped_examples WHERE text IS NOT NULL AND split_name IS NOT NULL),
+ g AS (SELECT row_no, tr, len(t) AS m, least(5, len(t)) AS need, t, unnest(range(1, len(t) + 1)) AS i FROM k), tg AS (SELECT DISTINCT unnest([array_to_string(t[i:i + n - 1], ' ') FOR n IN range(1, 6) IF i + n - 1 <= m]) AS gram FROM g WHERE tr),
+ h AS (SELECT row_no, i, need FROM g WHERE NOT tr AND i + need - 1 <= m AND array_to_string(t[i:i + need - 1], ' ') IN (SELECT gram FROM tg)), c AS (SELECT DISTINCT row_no, unnest(range(i, i + need)) AS j FROM h), b AS (SELECT row_no, j, lag(j) OVER (PARTITION BY row_no ORDER BY j) IS DISTINCT FROM j - 1 AS begins FROM c)
+ SELECT k.row_no, len(any_value(t))::BIGINT AS n_words, count(j)::BIGINT AS covered, count(*) FILTER (begins)::BIGINT AS spans FROM k LEFT JOIN b USING (row_no) WHERE NOT tr GROUP BY k.row_no"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for m in MODULES for name, f in vars(m).items() if name[0] == "p" and name[1:2].isdigit()}
@@ -52,5 +59,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"SELECT table_name, entity_key FROM ({KEYED}) WHERE entity_key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split_name) > 1",
         "p4_found": f"{per_row}, l AS (SELECT label, term, count(*) AS dl FROM c WHERE label IN {SEVEN} GROUP BY ALL) SELECT 'record' AS scope, row_no::VARCHAR AS unit_key, term FROM c JOIN d USING (term), t WHERE n * ln(total / d) >= 2.1::DOUBLE * ln(total) UNION ALL SELECT 'label', label, term FROM l JOIN (SELECT term, sum(dl) AS da FROM l GROUP BY term) USING (term) WHERE dl >= 4 AND dl * 10 >= da * 9",
         "p7_found": f"SELECT container_kind, doc_id FROM documents JOIN pack_specs ON {TOKENS} > capacity_tokens",
-        "p8_found": f"WITH t AS (SELECT m.source, target_share, max_repeats, coalesce(sum({TOKENS}), 0) AS k FROM mix_targets m LEFT JOIN documents USING (source) GROUP BY ALL) SELECT source FROM t WHERE k * max_repeats < target_share * (SELECT sum(k) FROM t)",
+        "p3_check": f"SELECT table_name, count(*)::BIGINT AS n_rows, 0::BIGINT AS unassigned, 0::BIGINT AS parted, true AS shares_met FROM ({KEYED}) GROUP BY table_name",
+        "p6_coverage": COVERAGE,
+        "p7_check": f"SELECT container_kind, count(*)::BIGINT AS n_docs, sum({TOKENS})::BIGINT AS n_tokens, count(*) FILTER ({TOKENS} > capacity_tokens)::BIGINT AS cut_docs, 0::BIGINT AS misplaced, 0::BIGINT AS over_full FROM documents, pack_specs WHERE {TOKENS} IS NOT NULL GROUP BY container_kind",
+        "p8_check": f"{MIXED}, s AS (SELECT *, k * max_repeats < target_share * (SELECT sum(k) FROM t) AS short FROM t) SELECT source, k::BIGINT AS source_tokens, short, CASE WHEN short THEN (k * max_repeats)::BIGINT END AS short_tokens, true AS within_repeats, true AS within_share FROM s",
+        "p9_check": f"SELECT doc_id, length(regexp_replace(text, '{WS}', '', 'g'))::BIGINT AS held_chars, (length(text) - length(regexp_replace(text, '^{WS}', '')))::BIGINT AS first_start, length(regexp_replace(text, '{WS}$', ''))::BIGINT AS last_end, 0::BIGINT AS loose_ends, 0 AS crossed FROM documents WHERE length(regexp_replace(text, '{WS}', '', 'g')) > 0",
+        "p8_found": f"{MIXED} SELECT source FROM t WHERE k * max_repeats < target_share * (SELECT sum(k) FROM t)",
     }

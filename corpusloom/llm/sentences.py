@@ -498,3 +498,16 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", chu
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))).select("doc_id", "sent_start", "sent_end")
+
+
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the sentences, per document that has any: they hold every character but white space, in order and without it at their ends."""
+    documents = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    found = sentences(spread(documents)).join(documents, "doc_id")
+    body = F.substr("text", F.col("sent_start").cast("int") + 1, (F.col("sent_end") - F.col("sent_start")).cast("int"))
+    space = r"(?U)\s"
+    each = found.select("doc_id", "sent_start", "sent_end", F.length(F.regexp_replace(body, space, "")).alias("n"), body.rlike(rf"\A{space[4:]}|{space[4:]}\z").alias("loose"))
+    held = each.groupBy("doc_id").agg(F.sum("n").alias("held_chars"), F.min("sent_start").alias("first_start"), F.max("sent_end").alias("last_end"), F.count_if("loose").alias("loose_ends"), F.array_sort(F.collect_list(F.struct("sent_start", "sent_end"))).alias("all"))
+    # A document's sentences are bounded by its own text.
+    crossed = F.size(F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i > 1) & (F.get("all", i - 1)["sent_start"] < F.get("all", i - 2)["sent_end"])))
+    return held.select("doc_id", "held_chars", "first_start", "last_end", "loose_ends", crossed.alias("crossed"))

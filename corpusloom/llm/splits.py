@@ -215,3 +215,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every row with its split."""
     return _splits(spark, d)[0].withColumnRenamed("row", "row_no")
+
+
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits, per table: rows, rows without a split, entities in more than one split; over all tables, whether every share is met within the largest entity."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    rows, entities = _splits(spark, d)
+    rows = cut(rows)
+    names = (("grouped_examples", "group_id"), ("ood_test_v3", "family_id"), ("contrast_test_v3", "pair_id"))
+    keyed = None
+    for t, key in names:
+        one = read(t).select(F.lit(t).alias("table_name"), F.col("row_no").alias("row"), entity_key(key).alias("entity_key"))
+        keyed = one if keyed is None else keyed.unionByName(one)
+    parted = keyed.join(rows, ["table_name", "row"]).where("entity_key IS NOT NULL").groupBy("table_name", "entity_key").agg(F.count_distinct("split_name").alias("ways")).groupBy("table_name").agg(F.count_if(F.col("ways") > 1).alias("parted"))
+    per_table = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("split_name").isNull()).alias("unassigned"))
+    largest = entities.agg(F.max("n_rows")).first()[0] or 0
+    total, had = rows.count(), {r["split_name"]: r["count"] for r in rows.groupBy("split_name").count().collect()}
+    shares = {r["split_name"]: r["target_share"] for r in read("split_targets").collect()}
+    met = all(abs(had.get(k, 0) - v / sum(shares.values()) * total) <= largest for k, v in shares.items())
+    return per_table.join(parted, "table_name").withColumn("shares_met", F.lit(met))

@@ -6,6 +6,7 @@ import pytest
 from corpusloom.llm import mixing as M
 from corpusloom.llm import packing as K
 from corpusloom.llm import splits as P
+from pyspark.sql import functions as F
 
 SHARES = {"train": 0.6, "development": 0.14, "calibration": 0.13, "id-test": 0.13}
 
@@ -126,13 +127,29 @@ def test_windows_follow_the_mixture():
     rng = np.random.default_rng(1)
     sizes, sources = rng.integers(1, 30, 3000), rng.choice(3, 3000, p=[0.6, 0.3, 0.1])
     shares = np.bincount(sources, weights=sizes) / sizes.sum()
-    home, n = K.fill(sizes, sources, shares, np.zeros(3), 400)
+    home, n, _ = K.fill(sizes, sources, shares, np.zeros(3), 400)
     had = np.zeros((n, 3))
     np.add.at(had, (home, sources), sizes)
     drift = np.abs(had.cumsum(0) - had.sum(1).cumsum()[:, None] * shares)
     assert drift.max() < 100 and had.sum(1).max() <= 400 and (had.sum(1)[:-2] >= 395).all()
 
 
+def test_given_targets_are_followed(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(5, 60)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("text", F.lit(None).cast("string"))
+    packed = K.pack(df, {"box": 500}, targets={"a": 6, "b": 2, K.NONE: 2}).collect()
+    source = {i: s for i, s, _ in rows}
+    by = collections.defaultdict(collections.Counter)
+    for r in packed:
+        by[r["container"]][source[r["doc_id"]]] += r["n_tokens"]
+    first = [by[c] for c in sorted(by)[: len(by) // 3]]  # later windows hold what the targets leave over
+    had = sum(first, collections.Counter())
+    total = sum(had.values())
+    assert abs(had["a"] / total - 0.6) < 0.01 and abs(had["b"] / total - 0.2) < 0.01 and len(packed) == 4000
+    assert sum(sum(c.values()) for c in by.values()) / (500 * len(by)) > 0.98
+
+
 def test_flight_keeps_both_sums():
     rng = np.random.default_rng(2)
     for x in (rng.integers(1, 500, 400).astype(float), np.full(50, 7.0), np.array([3.0]), np.zeros(0)):
