@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..operators.checkpoints import cut
+from ..operators.joins import lookup_join
 from ..operators.layout import spread
 
+HEAVY_SHARE = 1000  # forms with more than one in so many rows are joined by broadcast; there can be no more of them than this
+
 # Letters drawn like a Latin one, by the Latin one they look like.
 LOOKALIKES = {
     "a": "аɑ", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛ", "s": "ѕꜱ", "u": "ս", "v": "νѵᴠ", "w": "ԝᴡ", "x": "х", "y": "уү", "z": "ᴢ",
@@ -151,12 +154,15 @@ def consistent_forms(rows: DataFrame, text: str = "text", out: str = "form") ->
 def mixed_rows(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:
     """Rows whose form is written in more than one way: ``by``, ``r``, ``form_key``, ``text_key``.
 
-    Digests stand for forms and texts. A form's least and greatest text tell whether it is mixed, so copies
-    of one text are one row before the exchange.
+    Digests stand for forms (with ``by``) and texts. A form's least and greatest text tell whether it is mixed, so copies
+    of one text are one row before the exchange; a form that holds many rows doesn't gather them in one task.
     """
-    keyed = forms.select(*by, F.col(row).alias("r"), F.unhex(F.sha2("form", 256)).alias("form_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
-    mixed = keyed.groupBy(*by, "form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select(*by, "form_key")
-    return cut(keyed.join(mixed, [*by, "form_key"]))
+    form = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in by], "form")
+    keyed = forms.select(*by, F.col(row).alias("r"), F.unhex(F.sha2(form, 256)).alias("form_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    seen = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.count(F.lit(1)).alias("rows"))
+    total = forms.count()
+    mixed = seen.where("low <> high").select("form_key", "rows")
+    return cut(lookup_join(keyed, mixed, "form_key", F.col("rows") * HEAVY_SHARE > F.lit(total), F.xxhash64("r")).drop("rows"))
 
 
 def lookalike_pairs(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:

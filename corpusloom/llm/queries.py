@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from . import distinctive, frequencies, lookalikes, mixing, overlaps, packing, s
 
 MODULES = (lookalikes, frequencies, splits, distinctive, overlaps, packing, mixing, sentences)
 
-# Look-alike forms for the characters of the test tables: letters by the same table, width forms, spaces; invisible ones have no counterpart and go.
-_LIKE = [(c, latin) for latin, like in lookalikes.LOOKALIKES.items() for c in like]
+# Look-alike forms for the characters of the test tables, apart from the operator's own table: letters by their names, width forms, spaces;
+# invisible ones have no counterpart and go. Letters of other scripts by the Latin letter they are drawn like.
+_CAPITAL = {"A": "CYRILLIC A, GREEK ALPHA", "B": "CYRILLIC VE, GREEK BETA", "C": "CYRILLIC ES", "E": "CYRILLIC IE, GREEK EPSILON", "H": "CYRILLIC EN, GREEK ETA", "I": "CYRILLIC BYELORUSSIAN-UKRAINIAN I, GREEK IOTA", "J": "CYRILLIC JE", "K": "CYRILLIC KA, GREEK KAPPA", "M": "CYRILLIC EM, GREEK MU", "N": "GREEK NU", "O": "CYRILLIC O, GREEK OMICRON", "P": "CYRILLIC ER, GREEK RHO", "S": "CYRILLIC DZE", "T": "CYRILLIC TE, GREEK TAU", "X": "CYRILLIC HA, GREEK CHI", "Y": "GREEK UPSILON", "Z": "GREEK ZETA"}
+_SMALL = {"a": "CYRILLIC A", "c": "CYRILLIC ES", "e": "CYRILLIC IE", "g": "LATIN SCRIPT G", "h": "CYRILLIC SHHA", "i": "CYRILLIC BYELORUSSIAN-UKRAINIAN I", "j": "CYRILLIC JE", "o": "CYRILLIC O, GREEK OMICRON, ARMENIAN OH", "p": "CYRILLIC ER", "s": "CYRILLIC DZE", "v": "GREEK NU", "x": "CYRILLIC HA", "y": "CYRILLIC U"}
+_LIKE = [("\u03f2", "c")] + [(unicodedata.lookup(x.replace(" ", f" {case} LETTER ", 1)), latin) for case, table in (("CAPITAL", _CAPITAL), ("SMALL", _SMALL)) for latin, names in table.items() for x in names.split(", ")]
 _SEEN = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F) if c != 0x27) + "\u00a0\u2002\u2007\u2009\u202f\u205f\u3000" + "".join(c for c, _ in _LIKE)
 _AS = "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27) + " " * 7 + "".join(x for _, x in _LIKE)
 _UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
