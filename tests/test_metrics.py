@@ -95,6 +95,30 @@ def test_similarity_is_exact(spark):
         assert {r["k"]: r["links"] for r in similarity.similar_row_links(df, "k", "g", "m", t).collect()} == want
 
 
+def test_family_leaks_against_brute_force(spark):
+    import random
+
+    from corpusloom.functions.text import extract_terms, tokens
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("tea ink pen cup leaf pot jug oak elm ash".split()) for _ in range(rng.randint(1, 7))) for _ in range(70)] + ["", None]
+    df = spark.createDataFrame([(f"i{i}", f"g{i % 9}", "xy"[i % 2], t, "clash") for i, t in enumerate(texts)], "id string, group_id string, label string, text string, members string")
+    got = {(r["id"], r["kind"]): r["links"] for r in similarity.family_leaks(df).collect()}
+    rows = [(r["id"], r["group_id"], r["label"], {*r["m"]}) for r in df.where("text IS NOT NULL").select("*", extract_terms(tokens("text")).alias("m")).collect()]
+    families = {}
+    for _, g, y, m in rows:
+        for x in m:
+            families.setdefault((y, x), set()).add(g)
+    rest = [(i, g, y, {x for x in m if len(families[y, x]) < 3}) for i, g, y, m in rows]
+    want = {}
+    for kind, of, limit in (("raw", rows, 0.3), ("residual", rest, 0.25)):
+        for i, g, y, a in of:
+            n = sum(g != h and (kind == "raw" or y == z) and bool(a and b) and len(a & b) >= limit * len(a | b) - 1e-12 for _, h, z, b in of)
+            if n:
+                want[i, kind] = n
+    assert got == want and {k for _, k in got} == {"raw", "residual"}
+
+
 def test_candidate_choice():
     c = lambda n, l2, f: calibrate.Candidate(n, l2, 0.9, f, 0.1, 0.1)
     big = c(2048, 0.0001, 0.900)
