@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_CHARS
+from ..operators.contracts import ContractError
 
 MAX_LINE_BYTES = MAX_CHARS * 4 + 16_384
 MAX_ROWS, MAX_BYTES = 100_000, 64 << 20
@@ -36,9 +37,17 @@ def parse_audit(lines: DataFrame, number: str = "line_no", line: str = "line") -
     """As :func:`parse` for a batch, with ``duplicate-id`` on every repeat but the first by ``number``."""
     parsed = parse(lines, line)
     first = parsed.where("reason IS NULL").groupBy("id").agg(F.min(number).alias("__first"))
-    joined = parsed.join(first, "id", "left")
-    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col(number) > F.col("__first"), "duplicate-id")
-    return joined.select(*[c for c in parsed.columns if c != "reason"], reason.alias("reason"))
+    kept = [c for c in parsed.columns if c != "reason"]
+    # Bad lines may have no id to join by and would all meet in one task.
+    repeated = parsed.where("reason IS NULL").join(first, "id", "left").select(*kept, F.when(F.col(number) > F.col("__first"), "duplicate-id").alias("reason"))
+    return repeated.unionByName(parsed.where("reason IS NOT NULL"))
+
+
+def require_limits(lines: DataFrame, line: str = "line") -> None:
+    """Raises if an audit's input has more lines or bytes than it may."""
+    got = limits(lines, line).first()
+    if not got["within"]:
+        raise ContractError(f"an audit takes {MAX_ROWS} lines and {MAX_BYTES} bytes at most, not {got['lines']} and {got['bytes']}")
 
 
 def limits(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -7,13 +7,15 @@ the first. :func:`load` raises on the lowest bad line, as a strict reader would.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_CHARS, feature_identity, normalize, tokens
-from ..operators.contracts import ContractError
+from ..operators.contracts import ContractError, class_support, contrast_contract, family_sizes, group_support, label_conflicts, label_support, ood_contract, require
+from ..operators.similarity import family_leaks
 
 MAX_FILE_BYTES = 64 << 20
 MAX_ROWS = 100_000
@@ -40,7 +42,10 @@ CONTRAST = Corpus(("id", "pair_id", "variant", "label", "text"), "v3", ("id", "p
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` from 1, ``line`` of one corpus file. A corpus file has 64 MiB at most, so it is read whole."""
+    """``line_no`` from 1, ``line`` of one corpus file. It is read whole, so one of more than ``MAX_FILE_BYTES`` is an error."""
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    if size is not None and size > MAX_FILE_BYTES:
+        raise ContractError(f"a corpus file has {MAX_FILE_BYTES} bytes at most, not {size}")
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n", -1)).alias("i", "line")).select((F.col("i") + 1).alias("line_no"), "line")
 
@@ -67,21 +72,43 @@ def parse(lines: DataFrame, corpus: Corpus) -> DataFrame:
     well = judged.where("reason IS NULL")
     first_id = well.groupBy("id").agg(F.min("line_no").alias("id_first"))
     first_text = well.groupBy("identity").agg(F.min("line_no").alias("text_first"))
-    repeated = judged.join(first_id, "id", "left").join(first_text, "identity", "left")
-    again = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("line_no") > F.col("id_first"), "duplicate-id").when(F.col("line_no") > F.col("text_first"), "duplicate-text")
-    rows = repeated.select("line_no", *corpus.columns, again.alias("reason"))
+    # Lines that broke a rule already have no key to join by and would all meet in one task.
+    repeated = well.join(first_id, "id", "left").join(first_text, "identity", "left")
+    again = F.when(F.col("line_no") > F.col("id_first"), "duplicate-id").when(F.col("line_no") > F.col("text_first"), "duplicate-text")
+    rows = repeated.select("line_no", *corpus.columns, again.alias("reason")).unionByName(judged.where("reason IS NOT NULL").select("line_no", *corpus.columns, "reason"))
     bad_header = kept.where((F.col("line_no") == 1) & ~header).select("line_no", *[F.lit(None).cast("string").alias(c) for c in corpus.columns], F.lit("header").alias("reason"))
     return rows.unionByName(bad_header)
 
 
-def load(lines: DataFrame, corpus: Corpus) -> DataFrame:
-    """The corpus' rows; raises with the lowest bad line, on an empty corpus, and beyond 100,000 rows."""
+def load(lines: DataFrame, corpus: Corpus, max_rows: int | None = MAX_ROWS, contracts: bool = True) -> DataFrame:
+    """The corpus' rows; raises with the lowest bad line, on an empty corpus, and beyond ``max_rows`` (None: no bound).
+
+    ``contracts``: the corpus' own rules on families, pairs, strata and support must hold too.
+    """
     parsed = parse(lines, corpus)
     bad = parsed.where("reason IS NOT NULL").orderBy("line_no").limit(1).collect()
     if bad:
         raise ContractError(f"line {bad[0]['line_no']}: {bad[0]['reason']}")
     rows = parsed.drop("line_no", "reason")
     n = rows.count()
-    if not 1 <= n <= MAX_ROWS:
-        raise ContractError(f"a corpus has 1..{MAX_ROWS} rows, not {n}")
+    if n < 1 or (max_rows is not None and n > max_rows):
+        raise ContractError(f"a corpus has 1..{max_rows or 'any number of'} rows, not {n}")
+    for what, violations in corpus_contracts(rows, corpus) if contracts else ():
+        require(violations, what)
     return rows
+
+
+def corpus_contracts(rows: DataFrame, corpus: Corpus) -> Iterator[tuple[str, DataFrame]]:
+    """What a corpus of this kind must not have."""
+    if corpus is LABELED:
+        yield "labels need five rows", class_support(rows, "label")
+    elif corpus is GROUPED:
+        yield "a group has one label", label_conflicts(rows, "group_id", "label")
+        yield "labels need four groups", group_support(rows, "label", "group_id")
+        yield "groups have equal sizes of three or more", family_sizes(rows, "group_id")
+        yield "groups are too alike", family_leaks(rows)
+    elif corpus is OPENSET_OOD:
+        yield "families, domains and strata", ood_contract(rows)
+    elif corpus is CONTRAST:
+        yield "pairs have two variants of two labels", contrast_contract(rows, variant="variant")
+        yield "labels have equal support of two or more", label_support(rows)
