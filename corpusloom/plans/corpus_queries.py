@@ -13,7 +13,7 @@ from ..operators import features as V
 from ..operators import partitions as P
 from ..operators import similarity as S
 from ..operators.layout import spread
-from .inputs import LABELLED, PROMPTS, labelled, norm_sql, prompts, table, tokens_sql
+from .inputs import LABELLED, PROMPTS, labelled, nfkc_sql, norm_sql, prompts, table, tokens_sql
 from .text_queries import ORACLE as TEXT_ORACLE
 from .text_queries import SEED, fnv_sql
 
@@ -164,25 +164,34 @@ def contrast_contract(s, d):
     return C.contrast_contract(table(s, d, "contrast_test_v3"))
 
 
-POPULATIONS = {"intents_v1": (["id"], []), "ood_test_v3": (["id"], ["family_id", "domain_group"]), "contrast_test_v3": (["id"], ["pair_id"]), "grouped_examples": (["id"], ["group_id"])}
+POPULATIONS = {"intents_v1": (["id"], []), "ood_test_v3": (["id"], ["family_id", "domain_group"]), "contrast_test_v3": (["id"], ["pair_id"]), "grouped_examples": (["id"], ["group_id"]), "replayed": (["id"], ["pair_id"])}
+# The contrast rows once more under other ids, pairs and layout, so that texts do overlap.
+REPLAYED = "SELECT concat('r-', id) AS id, concat('r-', pair_id) AS pair_id, concat('  ', text, ' !') AS text FROM contrast_test_v3"
 
 
 @query(
-    "WITH u AS ("
+    f"WITH replayed AS ({REPLAYED}), u AS ("
     + " UNION ".join(
-        f"SELECT '{t}' AS p, kind, key FROM (SELECT 'text' AS kind, nullif(array_to_string({tokens_sql('text')}, ' '), '') AS key FROM {t}" + "".join(f" UNION ALL SELECT 'id', {c} FROM {t}" for c in ids) + "".join(f" UNION ALL SELECT 'group', {c} FROM {t}" for c in groups) + ") WHERE key IS NOT NULL"
+        f"SELECT '{t}' AS p, kind, key FROM (SELECT 'text' AS kind, nullif(array_to_string({tokens_sql(nfkc_sql('text'))}, ' '), '') AS key FROM {t}" + "".join(f" UNION ALL SELECT 'id', {c} FROM {t}" for c in ids) + "".join(f" UNION ALL SELECT 'group', {c} FROM {t}" for c in groups) + ") WHERE key IS NOT NULL"
         for t, (ids, groups) in POPULATIONS.items()
     )
     + ") SELECT kind, key, count(*)::BIGINT AS populations FROM u GROUP BY ALL HAVING count(*) > 1"
 )
 def cross_dataset_overlap(s, d):
-    return C.cross_overlap({t: C.corpus_keys(table(s, d, t), ids, groups) for t, (ids, groups) in POPULATIONS.items()})
+    replayed = table(s, d, "contrast_test_v3").selectExpr("concat('r-', id) AS id", "concat('r-', pair_id) AS pair_id", "concat('  ', text, ' !') AS text")
+    rows = lambda t: replayed if t == "replayed" else table(s, d, t)
+    return C.cross_overlap({t: C.corpus_keys(rows(t), ids, groups, profile="v3") for t, (ids, groups) in POPULATIONS.items()})
 
 
-@query(f"SELECT row_no FROM ood_test_v3 WHERE id IN (SELECT id FROM intents_v1 WHERE id IS NOT NULL) OR {norm_sql('text')} IN (SELECT {norm_sql('text')} FROM intents_v1 WHERE text IS NOT NULL)")
+# Outside rows, and the prompts once more among them under other ids and with more blanks.
+OUTSIDE = "SELECT row_no, id, text FROM ood_test_v3 UNION ALL SELECT -1 - row_no, concat('r-', id), concat('  ', text, ' ') FROM intents_v1"
+
+
+@query(f"SELECT DISTINCT row_no FROM ({OUTSIDE}) WHERE id IN (SELECT id FROM intents_v1 WHERE id IS NOT NULL) OR {norm_sql('text')} IN (SELECT {norm_sql('text')} FROM intents_v1 WHERE text IS NOT NULL)")
 def ood_overlap_v1(s, d):
     known = table(s, d, "intents_v1")
-    ood = table(s, d, "ood_test_v3").select("row_no", "id", normalize("text").alias("normal"))
+    outside = table(s, d, "ood_test_v3").select("row_no", "id", "text").unionByName(known.selectExpr("-1 - row_no AS row_no", "concat('r-', id) AS id", "concat('  ', text, ' ') AS text"))
+    ood = outside.select("row_no", "id", normalize("text").alias("normal"))
     by_id = ood.join(known.select("id").distinct(), "id", "left_semi").select("row_no")
     by_text = ood.join(known.select(normalize("text").alias("normal")).distinct(), "normal", "left_semi").select("row_no")
     return by_id.union(by_text).distinct()
@@ -198,12 +207,12 @@ def stratified_split(s, d):
     return P.stratified_split(labelled(s, d), SEED, HOLDOUT)
 
 
-@query(f"{SPLIT} SELECT label, part, count(*)::BIGINT AS n FROM sp GROUP BY ALL")
+@query(f"{SPLIT}, st AS (SELECT row_no, label, CASE WHEN label = 'goal' AND part = 'holdout' THEN 'train' ELSE part END AS part FROM sp) SELECT side, label, part, count(*)::BIGINT AS n FROM (SELECT 'left' AS side, * FROM (FROM st EXCEPT ALL FROM sp) UNION ALL SELECT 'right', * FROM (FROM sp EXCEPT ALL FROM st)) GROUP BY ALL")
 def split_provenance(s, d):
-    """The split rebuilt and compared with itself: only rows that agree, counted."""
+    """A stored split, with one label's holdout moved to training, against the split rebuilt: the rows in only one of them, counted."""
     split = P.stratified_split(labelled(s, d), SEED, HOLDOUT)
-    again = P.stratified_split(labelled(s, d), SEED, HOLDOUT)
-    return split.join(C.mismatch(split, again).select("row_no").distinct(), "row_no", "left_anti").groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    stored = split.withColumn("part", F.when((F.col("label") == "goal") & (F.col("part") == "holdout"), F.lit("train")).otherwise(F.col("part")))
+    return C.mismatch(stored, split).groupBy("side", "label", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH g AS (SELECT DISTINCT label, group_id FROM grouped_examples WHERE label IS NOT NULL AND group_id IS NOT NULL), h AS (SELECT *, {fnv_sql('concat(label, chr(31), group_id)', SEED)} AS h FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, group_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM h), q AS (SELECT *, least(greatest((n + 5) // 10, 1), (n - 1) // 3) AS q FROM r) SELECT label, group_id, CASE WHEN k <= q THEN 'id-test' WHEN k <= 2 * q THEN 'calibration' WHEN k <= 3 * q THEN 'development' ELSE 'train' END AS part FROM q")
@@ -224,3 +233,8 @@ def split_plan_contract(s, d):
 @query("SELECT split_name, count(*)::BIGINT AS n_rows, count(DISTINCT group_id)::BIGINT AS families, count(DISTINCT label)::BIGINT AS labels FROM grouped_examples GROUP BY split_name")
 def population_counts(s, d):
     return table(s, d, "grouped_examples").groupBy("split_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_id").alias("families"), F.count_distinct("label").alias("labels"))
+
+
+@query("SELECT stratum, count(*)::BIGINT AS n_rows, count(DISTINCT family_id)::BIGINT AS families, count(DISTINCT domain_group)::BIGINT AS domains FROM ood_test_v3 GROUP BY stratum")
+def outside_counts(s, d):
+    return table(s, d, "ood_test_v3").groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("family_id").alias("families"), F.count_distinct("domain_group").alias("domains"))

@@ -66,11 +66,11 @@ ORACLE["valid_feature_name"] = (
 
 
 def quantize(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.quantize(F.col("l_extendedprice") / F.col("l_quantity") - F.lit(1000.0), 1e3).alias("value"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.quantize(F.col("l_extendedprice") / F.col("l_quantity") - F.lit(1000.0)).alias("value"))
 
 
 QUERIES["quantize"] = quantize
-ORACLE["quantize"] = "SELECT l_orderkey, l_linenumber, round((l_extendedprice / l_quantity - 1000::DOUBLE) * 1000::DOUBLE) / 1000::DOUBLE AS value FROM lineitem"
+ORACLE["quantize"] = "SELECT l_orderkey, l_linenumber, round((l_extendedprice / l_quantity - 1000::DOUBLE) * 1e12::DOUBLE) / 1e12::DOUBLE AS value FROM lineitem"
 
 # Digests.
 _BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substring(hex(encode({0})), (2 * i - 1)::INTEGER, 2))::UBIGINT)"
@@ -102,19 +102,19 @@ ORACLE["dataset_fingerprint_v1"] = f"WITH r AS (SELECT pair_id, concat(id, chr(9
 def dataset_sha256(s: SparkSession, d: str) -> DataFrame:
     """The digest of each family's rows taken as a corpus of its own."""
     rows = table(s, d, "ood_test_v3").where("family_id IS NOT NULL AND text IS NOT NULL")
-    line = F.concat_ws("\t", "id", "family_id", F.coalesce("domain_group", F.lit("")), F.coalesce("stratum", F.lit("")), T.feature_identity(T.tokens("text")))
+    line = F.concat_ws("\t", "id", "family_id", F.coalesce("domain_group", F.lit("")), F.coalesce("stratum", F.lit("")), T.feature_identity(T.tokens("text", "v3")))
     return digests.grouped_digests(rows, "family_id", line, digests.sha256, "digest")
 
 
 QUERIES["dataset_sha256"] = dataset_sha256
-ORACLE["dataset_sha256"] = f"WITH r AS (SELECT family_id, concat(id, chr(9), family_id, chr(9), coalesce(domain_group, ''), chr(9), coalesce(stratum, ''), chr(9), array_to_string({TOK}, ' ')) AS x FROM ood_test_v3 WHERE family_id IS NOT NULL AND text IS NOT NULL) SELECT family_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest FROM r GROUP BY family_id"
+ORACLE["dataset_sha256"] = f"WITH r AS (SELECT family_id, concat(id, chr(9), family_id, chr(9), coalesce(domain_group, ''), chr(9), coalesce(stratum, ''), chr(9), array_to_string({tokens_sql(nfkc_sql('text'))}, ' ')) AS x FROM ood_test_v3 WHERE family_id IS NOT NULL AND text IS NOT NULL) SELECT family_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest FROM r GROUP BY family_id"
 
 def corpus_digests(s: SparkSession, d: str) -> DataFrame:
     """The digests of the two corpora as a whole, with the lines of ``dataset_fingerprint_v1`` and ``dataset_sha256``; no row is left out."""
     blank = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     contrast, ood = table(s, d, "contrast_test_v3"), table(s, d, "ood_test_v3")
     fnv_line = F.concat_ws("\t", blank("id"), blank("label"), blank(T.normalize("text")))
-    sha_line = F.concat_ws("\t", blank("id"), blank("family_id"), blank("domain_group"), blank("stratum"), blank(T.feature_identity(T.tokens("text"))))
+    sha_line = F.concat_ws("\t", blank("id"), blank("family_id"), blank("domain_group"), blank("stratum"), blank(T.feature_identity(T.tokens("text", "v3"))))
     found = [("contrast_test_v3", digests.corpus_digest(contrast, fnv_line, digests.fnv1a64)), ("ood_test_v3", digests.corpus_digest(ood, sha_line, digests.sha256))]
     return s.createDataFrame(found, "corpus string, digest string")
 
