@@ -120,6 +120,11 @@ def corpus_digests(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["corpus_digests"] = corpus_digests
+_V3TOK = tokens_sql(nfkc_sql("text"))
+ORACLE["corpus_digests"] = (
+    f"WITH c AS (SELECT concat(coalesce(id, ''), chr(9), coalesce(label, ''), chr(9), coalesce({norm_sql('text')}, '')) AS x FROM contrast_test_v3), o AS (SELECT concat(coalesce(id, ''), chr(9), coalesce(family_id, ''), chr(9), coalesce(domain_group, ''), chr(9), coalesce(stratum, ''), chr(9), coalesce(array_to_string({_V3TOK}, ' '), '')) AS x FROM ood_test_v3), "
+    f"y AS (SELECT string_agg(x, chr(10) ORDER BY x) AS y FROM c) SELECT 'contrast_test_v3' AS corpus, concat('fnv1a64:', {fnv_sql('y')}) AS digest FROM y UNION ALL SELECT 'ood_test_v3', sha256(string_agg(x, chr(10) ORDER BY x)) FROM o"
+)
 
 QUERIES["splitmix_index"] = lambda s, d: table(s, d, "orders").select("o_orderkey", H.splitmix_index(F.col("o_orderkey"), F.lit(97), SEED).alias("draw"))
 
