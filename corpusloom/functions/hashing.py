@@ -119,3 +119,13 @@ def dataset_fingerprint(rows: Column) -> Column:
 def dataset_sha256(rows: Column) -> Column:
     """Aggregate: SHA-256 of a corpus' sorted row texts joined by line feeds."""
     return F.sha2(_sorted_lines(rows), 256)
+
+
+def valid_sha256(c: Column) -> Column:
+    """Whether a text has the shape of a SHA-256 digest."""
+    return F.coalesce(c.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
+
+
+def valid_fingerprint(c: Column) -> Column:
+    """Whether a text has the shape of a v1 fingerprint."""
+    return F.coalesce(c.rlike(r"\Afnv1a64:[0-9a-f]{16}\z"), F.lit(False))

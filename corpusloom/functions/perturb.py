@@ -80,6 +80,7 @@ def double_middle(x: Column) -> Column:
     return longest_run(x, double)
 
 
+FAMILIES = ("formatting", "typographic")
 # Names, families and order of the suite.
 SUITE: list[tuple[str, str, Callable[[Column], Column]]] = [
     ("ascii-letter-case", "formatting", letter_case),
@@ -90,3 +91,23 @@ SUITE: list[tuple[str, str, Callable[[Column], Column]]] = [
     ("adjacent-character-transposition", "typographic", swap_neighbours),
     ("single-character-duplication", "typographic", double_middle),
 ]
+_added: list[tuple[str, str, Callable[[Column], Column]]] = []
+
+
+def register(name: str, family: str, f: Callable[[Column], Column]) -> None:
+    """Adds a perturbation to those of :func:`suite`: a text's variant, or null where it doesn't apply."""
+    if family not in FAMILIES:
+        raise ValueError(f"a perturbation is of {' or '.join(FAMILIES)}")
+    if any(n == name for n, _, _ in suite()):
+        raise ValueError(f"there is a perturbation {name} already")
+    _added.append((name, family, f))
+
+
+def unregister(name: str) -> None:
+    """Takes a registered perturbation out again; the fixed ones stay."""
+    _added[:] = [x for x in _added if x[0] != name]
+
+
+def suite() -> list[tuple[str, str, Callable[[Column], Column]]]:
+    """The fixed perturbations and the registered ones."""
+    return [*SUITE, *_added]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def model_json(model: Model) -> dict:
 
 
 def policy_json(model: Model) -> dict:
-    return {"temperature": model.temperature, "min_confidence": model.min_confidence, "min_margin": model.min_margin}
+    return {"temperature": model.temperature, "min_confidence": model.min_confidence, "min_margin": model.min_margin, "dataset": model.dataset, "split_plan": model.split_plan}
 
 
 def _strict(value: dict, keys: set[str], what: str) -> dict:
@@ -46,7 +47,7 @@ def _strict(value: dict, keys: set[str], what: str) -> dict:
 def model_from(model: dict, policy: dict) -> Model:
     m = _strict(model, {"profile", "labels", "vocabulary", "idf", "weights", "biases", "vectorizer"}, "model")
     v = _strict(m["vectorizer"], {"word", "char", "max_features", "min_df"}, "vectorizer")
-    p = _strict(policy, {"temperature", "min_confidence", "min_margin"}, "policy")
+    p = _strict(policy, {"temperature", "min_confidence", "min_margin", "dataset", "split_plan"}, "policy")
     return Model(tuple(m["labels"]), tuple(m["vocabulary"]), tuple(m["idf"]), tuple(map(tuple, m["weights"])), tuple(m["biases"]), m["profile"], Vectorizer(tuple(v["word"]), tuple(v["char"]), v["max_features"], v["min_df"]), **p)
 
 
@@ -73,6 +74,8 @@ def verify(path: str) -> Model:
     if set(listed) != set(PAYLOADS):
         raise BundleError("the manifest lists other files")
     for name in PAYLOADS:
+        if not re.fullmatch("[0-9a-f]{64}", str(listed[name])):
+            raise BundleError(f"{name} has no digest in the manifest")
         if digest(data[name]) != listed[name]:
             raise BundleError(f"{name} has another digest than the manifest says")
     try:
@@ -86,6 +89,13 @@ def reproduced(path: str, again: Model) -> bool:
     return same_json(model_json(verify(path)), model_json(again))
 
 
+def plan(path: str) -> dict:
+    """The split plan of a verified bundle."""
+    verify(path)
+    with open(os.path.join(path, "split-plan.json"), encoding="utf-8") as f:
+        return json.load(f)
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """``name``, ``digest``, ``bytes`` of all files in a folder, read in parallel."""
     files = spark.read.format("binaryFile").load(folder)

@@ -14,6 +14,7 @@ and is never accepted; in the v3 profile a text of more than 512 characters coun
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from types import SimpleNamespace
@@ -56,6 +57,8 @@ class Model:
     temperature: float = 1.0
     min_confidence: float = 0.0
     min_margin: float = 0.0
+    dataset: str = ""
+    split_plan: str = ""
 
     def __post_init__(self) -> None:
         """Rejects models that aren't rectangular, finite, bounded and uniquely labelled."""
@@ -70,6 +73,9 @@ class Model:
             raise ValueError("parameters must be finite and at most 1e6")
         if not 0.05 <= self.temperature <= 20 or not 0 <= self.min_confidence <= 1 or not 0 <= self.min_margin <= 1:
             raise ValueError("temperature must be 0.05..20, thresholds 0..1")
+        shape = r"[0-9a-f]{64}|fnv1a64:[0-9a-f]{16}"
+        if any(x and not re.fullmatch(shape, x) for x in (self.dataset, self.split_plan)):
+            raise ValueError("a model names its corpus and its split plan by their digests")
 
     def with_policy(self, **policy: float) -> Model:
         return replace(self, **policy)
@@ -180,6 +186,25 @@ def _top(rec: np.ndarray, order_value: np.ndarray, name_rank: np.ndarray, keep:
     return at, np.bincount(rec[at], minlength=n)
 
 
+def rejected(rows: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """Predictions of a model that isn't valid: its first label, never accepted, with probability 0."""
+    label = labels[0] if labels and labels[0] else "invalid-model"
+    kept = [c for c in rows.columns if c not in ("predicted", "accepted", "confidence", "margin", "has_features", "probabilities", "top_features")]
+    return rows.select(
+        *kept, F.lit(label).alias("predicted"), F.lit(False).alias("accepted"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("margin"), F.lit(False).alias("has_features"),
+        F.create_map(F.lit(label), F.lit(0.0)).alias("probabilities"), F.array().cast(CONTRIBUTION).alias("top_features"),
+    )
+
+
+def score_or_reject(rows: DataFrame, parameters: dict, text: str = "text") -> DataFrame:
+    """Scores with the model of these parameters, or rejects every row if they make none."""
+    try:
+        return score(rows, Model(**parameters), text)
+    except (ValueError, TypeError):
+        labels = parameters.get("labels") or ()
+        return rejected(rows, [x if isinstance(x, str) else "" for x in labels])
+
+
 def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``rows`` with the columns of PREDICTION, which replace any of the same names. No row moves to another task."""
     whole = F.when(F.length(text) > MAX_CHARS, F.lit("")).otherwise(F.coalesce(text, F.lit(""))) if model.profile == "v3" else F.coalesce(text, F.lit(""))

@@ -7,14 +7,16 @@ characters; :func:`audit` raises otherwise. Reports are rounded to 1e-9, gates l
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.perturb import SUITE
+from ..functions.perturb import suite
 from ..functions.text import MAX_CHARS, safe_ratio
-from . import contracts
+from . import bundle, contracts
+from .checkpoints import cut
 from .model import Model, score
 
 SCALE = 1e9
@@ -27,7 +29,7 @@ class GateError(ValueError):
 def variants(cases: DataFrame, text: str = "text") -> DataFrame:
     """``cases`` times the suite: ``perturbation``, ``family``, ``variant`` (null where skipped)."""
     x = F.col(text)
-    made = [F.struct(F.lit(name).alias("perturbation"), F.lit(family).alias("family"), f(x).alias("v")) for name, family, f in SUITE]
+    made = [F.struct(F.lit(name).alias("perturbation"), F.lit(family).alias("family"), f(x).alias("v")) for name, family, f in suite()]
     each = cases.select("*", F.explode(F.array(*made)).alias("e"))
     ok = F.col("e.v").isNotNull() & (F.col("e.v") != x) & (F.length("e.v") <= MAX_CHARS)
     return each.select(*cases.columns, "e.perturbation", "e.family", F.when(ok, F.col("e.v")).alias("variant"))
@@ -113,6 +115,38 @@ def audit(cases: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return totals(observations(scored_variants(cases, model, text)), ["perturbation", "family"])
 
 
+# Where the cases of an audit come from.
+POPULATIONS = ("jsonl", "provided-cases", "bundle-id-test")
+
+
+@dataclass(frozen=True)
+class Audit:
+    """Raw totals with where the cases came from. Only :func:`audit_bundle` says that they are a bundle's own test rows."""
+
+    raw: DataFrame
+    inputs: int
+    population: str
+
+
+def audit_cases(cases: DataFrame, model: Model, population: str = "provided-cases") -> Audit:
+    if population not in POPULATIONS[:2]:
+        raise ValueError(f"given cases are {' or '.join(POPULATIONS[:2])}")
+    validate_cases(cases)
+    return Audit(cut(audit(cases, model)), cases.count(), population)
+
+
+def audit_bundle(spark: SparkSession, path: str) -> Audit:
+    """The test rows that a verified bundle's plan names, under its own model."""
+    model, rows = bundle.verify(path), [x for x in bundle.plan(path).get("assignments", []) if x["part"] == "id-test"]
+    with open(f"{path}/metrics.json", encoding="utf-8") as f:
+        counted = json.load(f).get("inside", {}).get("n")
+    if not rows or counted != len(rows):
+        raise bundle.BundleError("the plan's test rows aren't those that the metrics count")
+    cases = spark.createDataFrame([(x["id"], x["text"]) for x in rows], "id string, text string")
+    validate_cases(cases)
+    return Audit(cut(audit(cases, model)), len(rows), POPULATIONS[2])
+
+
 @dataclass(frozen=True)
 class Gate:
     """Limits on the unrounded family totals. Typographic limits are off unless given."""

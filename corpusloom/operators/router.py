@@ -108,6 +108,11 @@ def rule_route(rows: DataFrame, text: str = "text", turn: Column | None = None)
     return routed.withColumn("keyword", keyword).withColumn("reply", reply).drop("__t", "__n", "__w")
 
 
+def trace_features(contrast: Column) -> Column:
+    """A reply's trace: every feature with its weight for the label less that for the runner-up."""
+    return F.transform(contrast, lambda f: F.struct(f["feature"].alias("feature"), f["value"].alias("value"), (f["top_weight"] - f["runner_up_weight"]).alias("weight"), f["contribution"].alias("contribution")))
+
+
 def session_turns(rows: DataFrame, session: str, order: list[str], out: str = "turn") -> DataFrame:
     """The number of each utterance within its session; every utterance counts, empty ones too."""
     return ranked(rows, [session], [F.col(c) for c in order], out)

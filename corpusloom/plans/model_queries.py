@@ -233,14 +233,19 @@ def cluster_bootstrap(s, d):
     return rounded(bootstrap.cluster_bootstrap(*_boot(s, d), RESAMPLES, SEED), "low", "high")
 
 
+def _first(rows: DataFrame) -> DataFrame:
+    """Of rows delivered again under one id the first."""
+    return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), "row_no").alias("x")).select("id", "x.*")
+
+
 @query()
 def run_experiment(s, d):
     """The whole experiment on prompts whose ids, families and texts fit its contracts."""
     seven = "label IN ('feeling', 'goal', 'greeting', 'observation', 'ownership', 'question', 'reason')"
-    grouped = table(s, d, "grouped_examples").where(f"{seven} AND group_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"]).select(F.concat(F.lit("g-"), "id").alias("id"), F.concat(F.lit("g-"), F.lower(F.trim("group_id")), F.lit("-"), "label").alias("group_id"), "label", "text")
-    ood = table(s, d, "ood_test_v3").where("family_id IS NOT NULL AND domain_group IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
+    grouped = table(s, d, "grouped_examples").where(f"{seven} AND group_id IS NOT NULL AND text IS NOT NULL").transform(_first).select(F.concat(F.lit("g-"), "id").alias("id"), F.concat(F.lit("g-"), F.lower(F.trim("group_id")), F.lit("-"), "label").alias("group_id"), "label", "text")
+    ood = table(s, d, "ood_test_v3").where("family_id IS NOT NULL AND domain_group IS NOT NULL AND text IS NOT NULL").transform(_first)
     side = lambda k: ood.where(F.pmod(F.xxhash64("domain_group"), F.lit(2)) == k).select(F.concat(F.lit("o-"), "id").alias("id"), F.concat(F.lit("o-"), F.lower(F.trim("family_id"))).alias("family_id"), F.concat(F.lit("d-"), "domain_group").alias("domain_group"), "text")
-    contrast = table(s, d, "contrast_test_v3").where(f"{seven} AND pair_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"]).select(F.concat(F.lit("c-"), "id").alias("id"), F.concat(F.lit("c-"), F.lower(F.trim("pair_id"))).alias("pair_id"), "variant_ab", "label", "text")
+    contrast = table(s, d, "contrast_test_v3").where(f"{seven} AND pair_id IS NOT NULL AND text IS NOT NULL").transform(_first).select(F.concat(F.lit("c-"), "id").alias("id"), F.concat(F.lit("c-"), F.lower(F.trim("pair_id"))).alias("pair_id"), "variant_ab", "label", "text")
     identity = lambda r: r.withColumn("identity", F.sha2(F.array_join(experiment_tokens("text"), " "), 256))
     dev, test, g, c = identity(side(0)), identity(side(1)), identity(grouped), identity(contrast)
     # A text belongs to the first population that has it.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import robustness
 from ..operators.model import Model, score
 from ..operators.router import rule_route
 from ..sources.jsonl import parse
@@ -56,3 +57,8 @@ def route_stream(rows: DataFrame, session: str, order: str, text: str = "text")
 def duplicate_ids_stream(lines: DataFrame, line: str = "value") -> DataFrame:
     """Running count per id for complete-mode output; an id with more than one is a failed audit, never dropped."""
     return parse(lines.select(F.col(line).alias("line"))).where("reason IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def audit_stream(lines: DataFrame, model: Model, line: str = "value") -> DataFrame:
+    """Running audit totals per perturbation for complete-mode output, from which :func:`robustness.report` makes the reports."""
+    return robustness.audit(parse(lines.select(F.col(line).alias("line"))).where("reason IS NULL"), model)

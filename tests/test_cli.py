@@ -35,12 +35,24 @@ def test_train_verify_reproduce_infer_audit(spark, capsys, corpus):
     assert run(spark, capsys, "bundle-reproduce", "--bundle", b, "--dataset", corpus / "rows.tsv")[0] == 0
     assert run(spark, capsys, "evaluate", "--bundle", b, "--dataset", corpus / "rows.tsv", "--ood", corpus / "ood.tsv")[0] == 0
     assert json.loads(run(spark, capsys, "infer", "--bundle", b, "green tea")[1])["predicted"] == "tea"
+    said = json.loads(run(spark, capsys, "infer", "--bundle", b, "I want to kill myself")[1])
+    assert said["boundary"] == "safety-boundary" and said["predicted"] is None
+    assert json.loads(run(spark, capsys, "infer", "--bundle", b, "  ")[1])["boundary"] == "empty-input"
+    assert "rule ml-abstain" in run(spark, capsys, "chat", "--bundle", b, "--once", "green tea")[1]  # no reply belongs to these labels
+    assert "accuracy" in run(spark, capsys, "evaluate", "--bundle", b, "--dataset", corpus / "rows.tsv", "--summary")[1]
+    other = corpus / "other.tsv"
+    other.write_text((corpus / "rows.tsv").read_text().replace("tea-0", "tea-x"))
+    assert "was trained on" in run(spark, capsys, "evaluate", "--bundle", b, "--dataset", other)[2]
+    assert run(spark, capsys, "evaluate", "--bundle", b, "--dataset", other, "--any-corpus")[0] == 0
+    assert run(spark, capsys, "bundle-reproduce", "--bundle", b, "--dataset", other)[0] == 1
+    assert run(spark, capsys, "robustness-audit", "--bundle", b)[0] == 1
+    assert run(spark, capsys, "robustness-audit", "--bundle", b, "--bundle-id-test")[0] == 1  # a v1 bundle has no test rows
     lines = run(spark, capsys, "infer-batch", "--bundle", b, "--input", corpus / "cases.jsonl")[1].splitlines()
     assert [json.loads(x)["id"] for x in lines] == ["c0", "c1"]
     code, out, err = run(spark, capsys, "infer-batch", "--bundle", b, "--input", corpus / "bad.jsonl")
     assert code == 1 and "line 2: shape" in err and "secret" not in out + err
     code, out, _ = run(spark, capsys, "robustness-audit", "--bundle", b, "--input", corpus / "cases.jsonl", "--formatting-label", 0, "--formatting-decision", 0, "--formatting-js", 1)
-    assert code == 0 and json.loads(out)["inputs"] == 2
+    assert code == 0 and json.loads(out)["inputs"] == 2 and json.loads(out)["population"] == "jsonl"
     code, out, err = run(spark, capsys, "robustness-audit", "--bundle", b, "--input", corpus / "cases.jsonl", "--typographic-label", 1, "--typographic-js", 0)
     assert code == 1 and json.loads(out)["inputs"] == 2 and "error" in err
     (b / "metrics.json").write_text("{}")
