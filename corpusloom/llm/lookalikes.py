@@ -98,13 +98,11 @@ def unstable_codes() -> list[int]:
 _classes: dict[str, str] = {}
 
 
-def segment_class(java: bool = False) -> str:
+def segment_class() -> str:
     """The inside of a character class for :func:`unstable_codes`."""
-    if "java" not in _classes:
-        ranges = _ranges(unstable_codes())
-        _classes["python"] = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
-        _classes["java"] = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
-    return _classes["java" if java else "python"]
+    if "inside" not in _classes:
+        _classes["inside"] = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _ranges(unstable_codes()))
+    return _classes["inside"]
 
 
 def splicer(inside: str) -> Callable[[str], str]:
@@ -129,12 +127,16 @@ def consistent_form(text: str) -> str:
     return splicer(segment_class())(text).strip(" ")
 
 
-def has_unstable(text: Column) -> Column:
-    """The quick check of a whole text, in the JVM. ASCII and common accented letters pass at once, save the unstable ones."""
+def may_change(text: Column) -> Column:
+    """The quick check of a whole text in the JVM: whether it has more than ASCII and common accented letters that are stable.
+
+    A class of all unstable characters costs the JVM more than the segments cost Python, which has them as a bitmap.
+    """
     if "safe" not in _classes:
         unstable = set(unstable_codes())
         _classes["safe"] = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges([c for c in (*range(0x20, 0x7F), *range(0xC0, 0x180)) if c not in unstable]))
-    return text.rlike(f"[^{_classes['safe']}]") & text.rlike(f"[{segment_class(java=True)}]")
+    # One range is far quicker than many, and most texts pass it.
+    return text.rlike("[^ -~]") & text.rlike(f"[^{_classes['safe']}]")
 
 
 def consistent_forms(rows: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
@@ -143,12 +145,11 @@ def consistent_forms(rows: DataFrame, text: str = "text", out: str = "form") ->
 
     def splice(texts: pd.Series) -> pd.Series:
         one = splicer(inside)
-        return texts.map(one)
+        return texts.map(one, na_action="ignore")
 
-    unstable = F.coalesce(has_unstable(F.col(text)), F.lit(False))
-    spliced = F.pandas_udf(splice, StringType())
-    stable = rows.where(~unstable).withColumn(out, F.btrim(F.col(text), F.lit(" ")))
-    return stable.unionByName(rows.where(unstable).withColumn(out, F.btrim(spliced(F.col(text)), F.lit(" "))))
+    # Stable texts go to Python as nulls, so rows are read and checked once.
+    spliced = F.pandas_udf(splice, StringType())(F.when(may_change(F.col(text)), F.col(text)))
+    return rows.withColumn(out, F.btrim(F.coalesce(spliced, F.col(text)), F.lit(" ")))
 
 
 def mixed_rows(forms: DataFrame, by: list[str], row: str, text: str = "text") -> DataFrame:
@@ -158,9 +159,10 @@ def mixed_rows(forms: DataFrame, by: list[str], row: str, text: str = "text") ->
     of one text are one row before the exchange; a form that holds many rows doesn't gather them in one task.
     """
     form = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in by], "form")
-    keyed = forms.select(*by, F.col(row).alias("r"), F.unhex(F.sha2(form, 256)).alias("form_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    digest = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+    keyed = cut(forms.select(*by, F.col(row).alias("r"), digest(form).alias("form_key"), digest(text).alias("text_key")))
     seen = keyed.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.count(F.lit(1)).alias("rows"))
-    total = forms.count()
+    total = keyed.count()
     mixed = seen.where("low <> high").select("form_key", "rows")
     return cut(lookup_join(keyed, mixed, "form_key", F.col("rows") * HEAVY_SHARE > F.lit(total), F.xxhash64("r")).drop("rows"))
 
