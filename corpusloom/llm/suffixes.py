@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -91,29 +93,30 @@ def sorted_suffixes(rows: DataFrame, record: str, toks: Column, edges: list[str]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
+            counts: Counter[tuple[str, int]] = Counter()
+            fresh: Counter[str] = Counter()  # suffixes of records without repeated words, whose dup is 0
             long: list[tuple[str, int, int, int]] = []
             for i, words in enumerate(batch.column("toks").to_pylist()):
                 n = len(words)
                 if n <= BLOCK:
-                    text, at, starts = " ".join(words), 0, []
-                    for w in words:
-                        starts.append(at)
-                        at += len(w) + 1
-                    for k, d in zip(*own_order(words)):
-                        key = text[starts[k] :], d
-                        counts[key] = counts.get(key, 0) + 1
+                    text = " ".join(words)
+                    starts = [0, *accumulate([len(w) + 1 for w in words[:-1]])]
+                    if len(set(words)) == n:
+                        fresh.update([text[at:] for at in starts])
+                    else:
+                        order, shared = own_order(words)
+                        counts.update(zip([text[starts[k] :] for k in order], shared))
                 else:
                     for k, d in zip(*own_order(words)):
                         s = " ".join(words[k : k + BLOCK])
                         if n - k > BLOCK:
                             long.append((s, d, i, k))
                             if len(long) >= RUN:
-                                yield _array_rows(batch.column("record"), {}, long, edges)
+                                yield _array_rows(batch.column("record"), Counter(), Counter(), long, edges)
                                 long = []
                         else:
-                            counts[s, d] = counts.get((s, d), 0) + 1
-            yield _array_rows(batch.column("record"), counts, long, edges)
+                            counts[s, d] += 1
+            yield _array_rows(batch.column("record"), fresh, counts, long, edges)
 
     made = rows.select(F.col(record).alias("record"), toks.alias("toks")).where(F.size("toks") > 0).mapInArrow(make, f"part int, s string, dup int, weight bigint, record {kind}, pos int")
     return made.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("s").drop("part")
@@ -124,6 +127,21 @@ def placed(s: list[str], edges: list[str]) -> pa.Array:
     return pa.array([bisect.bisect_right(edges, x) for x in s], pa.int32())
 
 
+def _array_rows(records: pa.Array, fresh: Counter, counts: Counter, long: list, edges: list[str]) -> pa.RecordBatch:
+    s = [*fresh, *[k for k, _ in counts], *[x[0] for x in long]]
+    dup = [0] * len(fresh) + [d for _, d in counts] + [x[1] for x in long]
+    none = [None] * (len(fresh) + len(counts))
+    return pa.RecordBatch.from_arrays(
+        [placed(s, edges), pa.array(s, pa.string()), pa.array(dup, pa.int32()), pa.array([*fresh.values(), *counts.values(), *[1] * len(long)], pa.int64()), records.take(pa.array(none + [x[2] for x in long], pa.int64())), pa.array(none + [x[3] for x in long], pa.int32())],
+        ["part", "s", "dup", "weight", "record", "pos"],
+    )
+
+
+def placed(s: list[str], edges: list[str]) -> pa.Array:
+    """The partition of each suffix."""
+    return pa.array([bisect.bisect_right(edges, x) for x in s], pa.int32())
+
+
 def _array_rows(records: pa.Array, counts: dict, long: list, edges: list[str]) -> pa.RecordBatch:
     s = [k for k, _ in counts] + [x[0] for x in long]
     dup = [d for _, d in counts] + [x[1] for x in long]
