@@ -137,21 +137,6 @@ def _array_rows(records: pa.Array, fresh: Counter, counts: Counter, long: list,
     )
 
 
-def placed(s: list[str], edges: list[str]) -> pa.Array:
-    """The partition of each suffix."""
-    return pa.array([bisect.bisect_right(edges, x) for x in s], pa.int32())
-
-
-def _array_rows(records: pa.Array, counts: dict, long: list, edges: list[str]) -> pa.RecordBatch:
-    s = [k for k, _ in counts] + [x[0] for x in long]
-    dup = [d for _, d in counts] + [x[1] for x in long]
-    at = pa.array([None] * len(counts) + [x[2] for x in long], pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [placed(s, edges), pa.array(s, pa.string()), pa.array(dup, pa.int32()), pa.array([*counts.values()] + [1] * len(long), pa.int64()), records.take(at), pa.array([None] * len(counts) + [x[3] for x in long], pa.int32())],
-        ["part", "s", "dup", "weight", "record", "pos"],
-    )
-
-
 def prefix_intervals(ordered: DataFrame, level: int = 0, lone: int = 0, longest: int | None = None) -> DataFrame:
     """Intervals of common prefixes: ``n``, ``key``, ``occurrences``, ``records``, ``edge``, ``record``, ``pos``, ``dup``.
 
