@@ -149,7 +149,7 @@ def plain(node: Column) -> Column:
 
 def entity_components(rows: DataFrame) -> DataFrame:
     """``node``, ``component`` of every written key: linked to its plain form, and to the keys of the rows that name it."""
-    written = cut(rows.groupBy("keys").agg(F.lit(1).alias("x")).where(F.size("keys") > 0).select("keys"))
+    written = rows.select("keys").distinct()
     node = written.select(F.explode("keys").alias("node")).distinct()
     forms = node.select(F.col("node").alias("a"), plain(F.col("node")).alias("b"))
     together = F.transform(F.sequence(F.lit(2), F.size("keys")), lambda i: F.struct(F.get("keys", i - 2).alias("a"), F.get("keys", i - 1).alias("b")))
