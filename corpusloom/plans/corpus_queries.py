@@ -215,7 +215,10 @@ def split_provenance(s, d):
     return C.mismatch(stored, split).groupBy("side", "label", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH g AS (SELECT DISTINCT label, group_id FROM grouped_examples WHERE label IS NOT NULL AND group_id IS NOT NULL), h AS (SELECT *, {fnv_sql('concat(label, chr(31), group_id)', SEED)} AS h FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, group_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM h), q AS (SELECT *, least(greatest((n + 5) // 10, 1), (n - 1) // 3) AS q FROM r) SELECT label, group_id, CASE WHEN k <= q THEN 'id-test' WHEN k <= 2 * q THEN 'calibration' WHEN k <= 3 * q THEN 'development' ELSE 'train' END AS part FROM q")
+_GROUPS = f"WITH g AS (SELECT DISTINCT label, group_id FROM grouped_examples WHERE label IS NOT NULL AND group_id IS NOT NULL), h AS (SELECT *, {fnv_sql('concat(label, chr(31), group_id)', SEED)} AS h FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, group_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM h), q AS (SELECT *, least(greatest((n + 5) // 10, 1), (n - 1) // 3) AS q FROM r), gs AS (SELECT label, group_id, CASE WHEN k <= q THEN 'id-test' WHEN k <= 2 * q THEN 'calibration' WHEN k <= 3 * q THEN 'development' ELSE 'train' END AS part FROM q)"
+
+
+@query(f"{_GROUPS} SELECT * FROM gs")
 def group_split(s, d):
     return P.group_split(table(s, d, "grouped_examples"), SEED)
 
@@ -235,6 +238,12 @@ def population_counts(s, d):
     return table(s, d, "grouped_examples").groupBy("split_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_id").alias("families"), F.count_distinct("label").alias("labels"))
 
 
+@query(f"{_GROUPS} SELECT DISTINCT label, group_id, split_name, part AS rebuilt FROM grouped_examples JOIN gs USING (label, group_id) WHERE split_name <> part")
+def split_assignment(s, d):
+    """Groups whose stored split isn't the one that the split by hash gives them."""
+    return P.assignment_violations(table(s, d, "grouped_examples"), SEED)
+
+
 @query("SELECT stratum, count(*)::BIGINT AS n_rows, count(DISTINCT family_id)::BIGINT AS families, count(DISTINCT domain_group)::BIGINT AS domains FROM ood_test_v3 GROUP BY stratum")
 def outside_counts(s, d):
     return table(s, d, "ood_test_v3").groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("family_id").alias("families"), F.count_distinct("domain_group").alias("domains"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from corpusloom.__main__ import main
@@ -65,3 +66,33 @@ def test_chat_and_usage(spark, capsys, corpus):
         run(spark, capsys, "nonsense")
     assert e.value.code == 2
     assert run(spark, capsys, "train", "--dataset", corpus / "rows.tsv", "--ood", corpus / "rows.tsv", "--output", corpus / "x")[0] == 1
+
+
+def test_v3_bundles_are_trained_audited_and_reproduced(spark, capsys, tmp_path, request):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    said = {"goal": "plan", "reason": "because"}
+
+    def write(name, header, rows):
+        (tmp_path / name).write_text("\n".join(["\t".join(header), *["\t".join(r) for r in rows]]) + "\n")
+        return tmp_path / name
+
+    outside = lambda p: [(f"{p}-{s}-{f}-{k}", f"{p}-{s}-{f}", f"{p}-{s}", s, f"{word()} {word()}") for s in ("semantic", "capability", "noise") for f in range(2) for k in range(3)]
+    kinds = ("id", "family_id", "domain_group", "stratum", "text")
+    files = [
+        "--dataset", write("g.tsv", ("id", "group_id", "label", "text"), [(f"s-{y}-{i}-{k}", f"{y}-{i}", y, f"{said[y]} {word()} {word()}") for y in said for i in range(10) for k in range(3)]),
+        "--ood-development", write("d.tsv", kinds, outside("d")), "--ood-test", write("t.tsv", kinds, outside("t")),
+        "--contrast-test", write("c.tsv", ("id", "pair_id", "variant", "label", "text"), [(f"c-{i}-{v}", f"p-{i}", v, y, f"{said[y]} {word()}") for i in range(3) for v, y in zip("ab", said)]),
+    ]
+    b = tmp_path / "bundle"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a tiny corpus
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    code, out, err = run(spark, capsys, "train-v3", *files, "--output", b, "--epochs", 60, "--max-features", 64, "--l2", 0.0005, "--bootstrap-resamples", 100)
+    assert code == 0, err
+    report = json.loads(out)
+    assert len(report["split_plan_sha256"]) == 64 and report["populations"]["contrast"] == {"pairs": 3, "rows": 6} and len(report["limitations"]) >= 2
+    code, out, err = run(spark, capsys, "robustness-audit", "--bundle", b, "--bundle-id-test", "--formatting-label", 0, "--formatting-decision", 0, "--formatting-js", 1)
+    assert code == 0 and json.loads(out)["population"] == "bundle-id-test", err
+    code, out, err = run(spark, capsys, "bundle-reproduce", "--bundle", b, *files)
+    assert code == 0 and json.loads(out) == {"reproduced": True}, err
+    assert run(spark, capsys, "bundle-reproduce", "--bundle", b, *files[:2])[0] == 1
