@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.checkpoints import cut
 from ..operators.layout import spread
-from .suffixes import BLOCK, borders, placed
+from .suffixes import RUN, borders, placed
 
 SKETCH_BITS = 18  # buckets of the word counts that order the words: a fixed size, whatever the input
 WIDTH = math.log(1.25)  # partners' lengths are matched in geometric steps
 SPAN = 5
+WINDOW = 11  # words compared beyond a span
 
 
 def distinct_words(text: str, profile: str) -> Column:
@@ -154,69 +155,78 @@ def overlap_report(rows: DataFrame, by: dict[str, Column], row: str = "row_no",
     return met.groupBy(*by).agg(F.sum("m").alias("n_rows"), F.sum(F.col("m") * F.col("links")).alias("links"))
 
 
-def _words_shared(a: list[str], b: str | None) -> int:
-    n = 0
-    if b is not None:
-        for x, y in zip(a, b.split(" ")):
-            if x != y:
-                break
-            n += 1
-    return n
-
-
 def shared_spans(known: DataFrame, record: str, span: int) -> DataFrame:
-    """``record``, ``pos``, ``shared``: how many words from there (``BLOCK`` at most) also stand in training, if ``span`` or the whole record.
+    """``record``, ``pos``, ``shared``: how many words from there also stand in training, if ``span`` or the whole record.
 
-    ``known`` has the record, ``tr`` and ``words``. Longer spans come out by their later places, so merged spans are
-    the same as those of whole prefixes.
+    ``known`` has the record, ``tr`` and ``words``. Of a suffix ``WINDOW`` words more than ``span`` are compared; longer
+    spans come out by their later places, so merged spans are the same as those of whole prefixes. A place comes once
+    for the training suffix before it and once for the one after it. The array is shuffled once; both passes sort it
+    where it lies.
     """
     parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = borders(known, record, F.col("words"), parts)
     kind = known.schema[record].dataType.simpleString()
+    block = span + WINDOW
+    names = ["part", "s", "record", "pos", "need"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(records: pa.Array, trained: set[str], own: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+            s = [*trained, *[x[0] for x in own]]
+            rest = lambda j: [None] * len(trained) + [x[j] for x in own]
+            return pa.RecordBatch.from_arrays([placed(s, edges), pa.array(s, pa.string()), records.take(pa.array(rest(1), pa.int64())), pa.array(rest(2), pa.int32()), pa.array(rest(3), pa.int32())], names)
+
         for batch in batches:
             trained: set[str] = set()
             own: list[tuple[str, int, int, int]] = []
             for i, (tr, words) in enumerate(zip(batch.column("tr").to_pylist(), batch.column("words").to_pylist())):
                 need = min(span, len(words))
-                suffixes = [(" ".join(words[k : k + BLOCK]), k) for k in range(len(words) if tr else len(words) - need + 1)]
-                if tr:
-                    trained.update(s for s, _ in suffixes)
-                else:
-                    own += [(s, i, k, need) for s, k in suffixes]
-            s = [*trained, *[x[0] for x in own]]
-            rest = lambda j: [None] * len(trained) + [x[j] for x in own]
-            yield pa.RecordBatch.from_arrays([placed(s, edges), pa.array(s, pa.string()), batch.column("record").take(pa.array(rest(1), pa.int64())), pa.array(rest(2), pa.int32()), pa.array(rest(3), pa.int32())], ["part", "s", "record", "pos", "need"])
+                for k in range(len(words) - (0 if tr else need - 1)):
+                    x = " ".join(words[k : k + block])
+                    trained.add(x) if tr else own.append((x, i, k, need))
+                    if len(trained) + len(own) >= RUN:
+                        yield rows(batch.column("record"), trained, own)
+                        trained, own = set(), []
+            yield rows(batch.column("record"), trained, own)
 
     some = known.select(F.col(record).alias("record"), "tr", "words").where(F.size("words") > 0)
     array = cut(some.mapInArrow(make, f"part int, s string, record {kind}, pos int, need int").repartitionById(len(edges) + 1, F.col("part")))
-    # The nearest training suffixes beyond a partition's ends stand in it too: one row a partition, two copies each.
+    # The nearest training suffixes before and after each partition: one row a partition.
     ends = sorted(tuple(r) for r in array.where("pos IS NULL").groupBy("part").agg(F.min("s"), F.max("s")).collect())
-    beyond = []
-    for p in range(len(edges) + 1):
-        beyond += [(p, e[2]) for e in [x for x in ends if x[0] < p][-1:]] + [(p, e[1]) for e in [x for x in ends if x[0] > p][:1]]
-    extra = known.sparkSession.createDataFrame(beyond, "part int, s string").select("part", "s", F.lit(None).cast(kind).alias("record"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("need"))
-    trained = F.when(F.col("pos").isNull(), F.col("s"))
-    up, down = Window.partitionBy("part").orderBy("s", F.col("pos").asc_nulls_first()), Window.partitionBy("part").orderBy(F.desc("s"), F.col("pos").asc_nulls_first())
-    near = array.unionByName(extra).withColumn("a", F.last(trained, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(trained, True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = []
-            for s, a, b in zip(batch.column("s").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                words = s.split(" ")
-                shared.append(max(_words_shared(words, a), _words_shared(words, b)))
-            yield pa.RecordBatch.from_arrays([batch.column("record"), batch.column("pos"), batch.column("need"), pa.array(shared, pa.int32())], ["record", "pos", "need", "shared"])
+    before = {p: [e[2] for e in ends if e[0] < p][-1:] for p in range(len(edges) + 1)}
+    after = {p: [e[1] for e in ends if e[0] > p][:1] for p in range(len(edges) + 1)}
 
-    asked = near.where("pos IS NOT NULL").select("record", "pos", "need", "s", "a", "b")
-    return asked.mapInArrow(measure, f"record {kind}, pos int, need int, shared int").where("shared >= need").drop("need")
+    def measure(batches: Iterator[pa.RecordBatch], start: dict[int, list[str]]) -> Iterator[pa.RecordBatch]:
+        last: list[str] | None = None
+        for batch in batches:
+            met: list[tuple[int, int]] = []
+            for i, (p, s, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "s", "need")))):
+                if last is None:
+                    last = start[p][0].split(" ") if start[p] else []
+                if need is None:
+                    last = s.split(" ")
+                elif last:
+                    n = 0
+                    for x, y in zip(s.split(" "), last):
+                        if x != y:
+                            break
+                        n += 1
+                    if n >= need:
+                        met.append((i, n))
+            if met:
+                at = pa.array([i for i, _ in met], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("record").take(at), batch.column("pos").take(at), pa.array([n for _, n in met], pa.int32())], ["record", "pos", "shared"])
+
+    ddl = f"record {kind}, pos int, shared int"
+    # Of equal suffixes those of training come first in the first pass.
+    up = array.sortWithinPartitions("s", F.col("pos").asc_nulls_first()).mapInArrow(lambda b: measure(b, before), ddl)
+    down = array.sortWithinPartitions(F.desc("s"), F.col("pos").asc_nulls_first()).mapInArrow(lambda b: measure(b, after), ddl)
+    return up.unionByName(down)
 
 
 def shared_coverage(rows: DataFrame, row: str = "row_no", text: str = "text", split: str = "split_name", train: str = "train", span: int = SPAN, profile: str = "v3") -> DataFrame:
     """Per evaluation record: ``n_words``, ``covered`` (words in spans of ``span`` or more shared with training), ``spans`` after merging."""
     known = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull()).select(row, (F.col(split) == train).alias("tr"), tokens(text, profile).alias("words"))
-    reach = F.max(F.col("pos") + F.col("shared")).over(Window.partitionBy("record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max(F.col("pos") + F.col("shared")).over(Window.partitionBy("record").orderBy("pos", "shared").rowsBetween(Window.unboundedPreceding, -1))
     fresh = shared_spans(known, row, span).withColumn("reach", F.coalesce(reach, F.lit(-1)))
     merged = fresh.groupBy("record").agg(
         F.sum(F.greatest(F.lit(0), F.col("pos") + F.col("shared") - F.greatest(F.col("pos"), F.col("reach")))).alias("covered"), F.sum((F.col("pos") > F.col("reach")).cast("bigint")).alias("spans")
