@@ -20,6 +20,6 @@ def lookup_join(rows: DataFrame, stats: DataFrame, key: str, heavy: Column, spre
     rest = flagged.where(~F.col("__heavy")).select(F.col(key).alias("__v"), F.lit(0).cast("bigint").alias("__s2"), *[F.col(c).alias(f"__l_{c}") for c in carried], F.lit(True).alias("__light"))
     first = rows.join(F.broadcast(top), key, "left")
     # Light rows: (key, 0). Heavy ones: (key, 1 + spread), which nothing on the other side equals.
-    first = first.withColumn("__s", F.when(F.col("__heavy"), F.lit(1) + F.abs(spread.cast("bigint"))).otherwise(F.lit(0)))
+    first = first.withColumn("__s", F.when(F.col("__heavy"), F.lit(1).cast("bigint") + F.pmod(F.xxhash64(spread), F.lit(1 << 40))).otherwise(F.lit(0).cast("bigint")))
     joined = first.join(rest, (F.col(key) == F.col("__v")) & (F.col("__s") == F.col("__s2")), "left").where(F.col("__heavy") | F.col("__light"))
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__l_{c}")).alias(c) for c in carried])

@@ -169,6 +169,13 @@ def test_majority_and_naive_bayes(spark):
     assert got[3][1] == pytest.approx(math.log(3 / 6))
 
 
+def test_naive_bayes_by_names_with_a_hot_word(spark):
+    train = spark.createDataFrame([(f"t{i}", "alpha" if i % 2 else "beta", f"the {'red' if i % 2 else 'green'} w{i}") for i in range(600)], "id string, label string, text string")
+    test = spark.createDataFrame([("x-1", "the red one"), ("x-2", "the green"), ("x-3", "")], "id string, text string")
+    assert {r["id"]: r["predicted"] for r in baselines.naive_bayes(train, test, "id").collect()} == {"x-1": "alpha", "x-2": "beta", "x-3": "alpha"}
+    assert baselines.naive_bayes(train.limit(0), test, "id").count() == 0
+
+
 def test_threshold_grid_without_rows(spark):
     s = spark.createDataFrame([(0.9, 0.5, True)], "confidence double, margin double, hit boolean")
     assert thresholds.select_v3(s, s.limit(0)).first()["feasible"] > 0
