@@ -137,6 +137,28 @@ def test_scores_against_the_formula(spark, prompts):
     assert D.record_scores(empty.drop("label"), D.word_statistics(empty, "label", D.LABELS), df.limit(0), "row_no").count() == 0
 
 
+def test_found_words_rest_on_counts_alone(spark, tmp_path, monkeypatch):
+    # "alpha" and "beta" have the same n, f and so score in row 1, but not the same d: only one of them is a case there.
+    rows = [(1, "question", "alpha beta " * 3), (2, None, "alpha " * 9), *[(i, "goal", f"beta c{i}") for i in range(3, 12)], (12, "other", "gamma"), (13, "goal", None), (14, "goal", " ... ")]
+    spark.createDataFrame(rows, "row_no bigint, label string, text string").write.parquet(str(tmp_path / "intents_v1.parquet"))
+    scores = {r["term"]: (r["n"], r["d"], r["score"]) for r in D.p4_record_scores(spark, str(tmp_path)).where("row_no = 1").collect()}
+    assert scores["alpha"] == (3, 2, scores["beta"][2]) and scores["beta"][:2] == (3, 10)
+
+    def unused(*_, **__):
+        raise AssertionError("the score decides no row here")
+
+    monkeypatch.setattr(D, "dfr_score", unused)
+    toks = {i: _tokens(t) for i, _, t in rows if t is not None}
+    total, d = len(toks), collections.Counter(w for t in toks.values() for w in set(t))
+    want = {("record", str(i), w) for i, t in toks.items() for w in set(t) if t.count(w) * math.log(total / d[w]) >= 2.1 * math.log(total)}
+    own = collections.Counter((y, w) for i, y, _ in rows if y in D.LABELS for w in set(toks.get(i, [])))
+    every = collections.Counter(w for i, y, _ in rows if y in D.LABELS for w in set(toks.get(i, [])))
+    want |= {("label", y, w) for (y, w), n in own.items() if n >= 4 and n * 10 >= every[w] * 9}
+    assert ("record", "1", "alpha") in want and ("record", "1", "beta") not in want and ("label", "goal", "beta") in want
+    got = D.p4_found(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(11)
     rows = []
