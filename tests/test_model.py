@@ -161,3 +161,42 @@ def test_bootstrap_weights_follow_the_draws(spark):
     assert len(per) == 300 and all(n == {"0|a": 2, "0|b": 1, "1|": 2}[s] for (_, s), n in per.items())
     with pytest.raises(ValueError):
         bootstrap.cluster_bootstrap(spark.range(0), spark.range(0), 5)
+
+
+def _close(a, b):
+    return (a.labels, a.vocabulary, a.idf) == (b.labels, b.vocabulary, b.idf) and np.allclose(a.weights, b.weights, rtol=0, atol=1e-9) and np.allclose(a.biases, b.biases, rtol=0, atol=1e-9)
+
+
+def test_training_takes_all_rows_beyond_max_rows(spark, monkeypatch):
+    texts = [(f"r{i}", ("tea", "ink", "oak")[i % 3], f"{('green', 'black', 'tall')[i % 3]} w{i % 7} {'x' * (i % 5)} n{i}") for i in range(700)]
+    df = spark.createDataFrame(texts, "id string, label string, text string")
+    config, v = model.Training(epochs=6), Vectorizer(max_features=40)
+    whole = model.train(df, config, v)
+    # The descent over the features of all rows, in one process.
+    terms = spark.createDataFrame(list(enumerate(whole.vocabulary)), "position int, term string").withColumn("idf", F.element_at(F.array(*map(F.lit, whole.idf)), F.col("position") + 1))
+    made = sorted(features.transform(df, terms, "id", vectorizer=v).collect(), key=lambda r: r["id"])
+    label = {i: whole.labels.index(y) for i, y, _ in texts}
+    flat = [(n, f["position"], f["value"]) for n, r in enumerate(made) for f in r["features"]]
+    row, position, value = (np.array(x) for x in zip(*flat))
+    w, b = model.descend(row, position, value, np.array([label[r["id"]] for r in made]), 3, 40, config)
+    assert np.allclose(whole.weights, w, rtol=0, atol=1e-9) and np.allclose(whole.biases, b, rtol=0, atol=1e-9)
+    # Blocks of about 50 rows, one job per epoch: a bound on a block's rows leaves none out.
+    small = model.Training(epochs=6, max_rows=50)
+    spread = model.train(df, small, v)
+    assert _close(spread, whole) and model.train(df.repartition(7), small, v) == spread
+    grid = [(Vectorizer(max_features=n), model.Training(epochs=6, l2=l2)) for n in (32, 40) for l2 in (0.0001, 0.002)]
+    here = model.train_candidates(df, grid, "v3", "id", "label", "text")
+    monkeypatch.setattr(model, "LOCAL_WORK", 1)
+    assert all(_close(x, y) for x, y in zip(model.train_candidates(df, grid, "v3", "id", "label", "text"), here))
+    assert all(_close(x, model.train(df, c, n, "v3")) for x, (n, c) in zip(here, grid))
+
+
+def test_rows_with_one_id_and_one_text_count_each(spark):
+    rows = [("a", "tea", "green tea"), ("a", "ink", "black ink"), (None, "tea", "tea pot"), (None, "ink", "ink well"), ("b", "ink", "green tea"), ("c", "tea", "green tea")]
+    df = spark.createDataFrame(rows, "id string, label string, text string")
+    own = df.withColumn("id", F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
+    config, v = model.Training(epochs=5), Vectorizer(max_features=32)
+    m = model.train(df, config, v)
+    assert model.train(own, config, v) == m
+    # Every word pair's frequency counts all rows, the repeated text three times.
+    assert m.idf[m.vocabulary.index("w2:green_tea")] == pytest.approx(math.log(7 / 4) + 1)
