@@ -34,7 +34,7 @@ from .checkpoints import cut
 
 TOP = 8
 CHUNK_ROWS = 512  # rows multiplied at once
-BLOCK_WORK, MOST_BLOCKS = 8192 * 512, 48  # texts by features of a block, and blocks before these grow
+BLOCK_WORK, MOST_BLOCKS = 2048 * 512, 48  # texts by features of a block, and blocks before these grow
 LOCAL_WORK = 40_000 * 512  # up to so many texts by features a task trains a candidate sooner than a job per epoch would
 DENSE_FEATURES = 4096  # up to so many a chunk is multiplied as a full matrix
 SENT_MB = 300  # of all blocks' gradients in an epoch
@@ -229,7 +229,10 @@ def train_candidates(rows: DataFrame, candidates: Sequence[tuple[V.Vectorizer, T
         raise ValueError("training needs 2..256 labels")
     largest = max((v for v, _ in candidates), key=lambda v: v.max_features)
     place = F.create_map(*[F.lit(x) for i, y in enumerate(labels) for x in (y, i)])
-    pairs = each.groupBy("t").agg(F.sum("n").alias("m"), F.collect_list(F.struct(place[F.col("y")].alias("k"), "n")).alias("e"))
+    # In at least as many partitions as cores, however small: every text makes hundreds of terms.
+    context = rows.sparkSession.sparkContext
+    n_parts = max(context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = each.repartition(n_parts, "t").groupBy("t").agg(F.sum("n").alias("m"), F.collect_list(F.struct(place[F.col("y")].alias("k"), "n")).alias("e"))
     texts = cut(pairs.select("t", "m", F.col("e.k").alias("k"), F.col("e.n").alias("n")))
     count = texts.agg(F.count(F.lit(1)).alias("texts"), F.sum("m").alias("rows")).first()
     frequency = V.term_counts(texts, "m", "t", profile, largest).groupBy("term").agg(F.sum("m").alias("df"))
@@ -245,7 +248,6 @@ def train_candidates(rows: DataFrame, candidates: Sequence[tuple[V.Vectorizer, T
     n_blocks = max(1, min(sent, max(min(MOST_BLOCKS, -(-count["texts"] // block_rows)), -(-count["texts"] // most_rows))))
     n_rows, n_labels = count["rows"], len(labels)
     blocks = chunked(texts, [t["term"] for t in terms], [t["idf"] for t in terms], n_labels, n_blocks, profile, largest)
-    context = rows.sparkSession.sparkContext
     if count["texts"] <= most_rows and count["texts"] * max(features) <= LOCAL_WORK:
         held = context.broadcast(blocks.collect())  # bounded by LOCAL_WORK
 
